@@ -53,7 +53,7 @@ TOKEN_BREAK = "[ \\t\\r\\n\\x{3002}\\x{ff0c}\\x{ff01}\\x{ff1f}]+"
 _TOKEN = re.compile("[^ \t\r\n。，！？]+")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
-INVISIBLE = re.compile("[­​-‍⁠﻿]")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
 @functools.cache
