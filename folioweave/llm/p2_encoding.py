@@ -33,6 +33,7 @@ from folioweave.sources.tables import table
 BUCKETS = 1 << 17  # of each of the two rows of the bigram sketch: 2 MB in all, whatever the corpus
 UNIGRAMS = 1 << 16  # one for each character of the basic plane; others share them
 SALTS = 16
+SIEVE = 1 << 20
 
 # Code pages by their public names. "+" lets the bytes a page leaves undefined pass as C1 controls.
 READ_AS = ["latin-1", "cp1252+", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "gb18030"]
@@ -171,7 +172,11 @@ def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict
     """Each distinct decipherment of a token nearly all whose characters are known -> index of the first pair that gives it."""
     out: dict[str, int] = {}
     high = {ord(c) for c in token if ord(c) > 127}
+    n_high = sum(ord(c) > 127 for c in token)
+    fits = {r: r == "gb18030" or any(x in _page(r)[1] for x in high) for r in READ_AS}
     for k, (r, m) in enumerate(PAIRS):
+        if not fits[r]:
+            continue
         if m in ONE_BYTE:
             table = cipher_table(r, m)
             if not high <= table.keys() or sum(not known(c) for x in high for c in table[x].lower()) * 5 > len(high):
@@ -180,6 +185,8 @@ def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict
             if d == token or any(map(_broken, d)):
                 continue
         else:
+            if n_high < 2 and r != "gb18030":
+                continue
             d = decipher(token, r, m)
             if d is None:
                 continue
@@ -293,15 +300,17 @@ def judged(token: str, lm: Bigrams) -> tuple[float, list[tuple[int, str, float]]
     return plain, got[:3]
 
 
-def _best(token: str, lm: Bigrams, weights: dict[int, float]) -> tuple[str, int, float]:
-    """The reading with the greatest posterior, its pair (-1: as it stands) and its lead in nats."""
+def _best(token: str, lm: Bigrams, weights: dict[int, float]) -> tuple[str, int, float, bool]:
+    """The reading with the greatest posterior, its pair (-1: as it stands), its lead in nats, and whether some source's
+    weights could make a decipherment win."""
     plain, got = judged(token, lm)
-    best = (token, -1, 0.0)
+    best, suspect = (token, -1, 0.0), False
     for k, d, score in got:
+        suspect |= score > plain
         lead = score - plain + math.log(max(weights.get(k, 0.0), _FIRST.get(k, FLOOR)))
         if lead > best[2]:
             best = (d, k, lead)
-    return best
+    return *best, suspect
 
 
 def token_counts(records: DataFrame) -> DataFrame:
@@ -316,17 +325,26 @@ def token_counts(records: DataFrame) -> DataFrame:
 
 
 class Decoder:
-    """What the EM learned: the bigram table (fixed size) and, per source, weights over ciphers (a DataFrame)."""
+    """What the EM learned: the bigram sketch and the sieve of suspect tokens (both of fixed size), the weights of the
+    ciphers over all sources (one number each) and by source (a DataFrame)."""
+
+    def __init__(self, two: np.ndarray, one: np.ndarray, sieve: np.ndarray, everywhere: dict[int, float], sources: DataFrame):
+        self.two, self.one, self.sieve, self.everywhere, self.sources = two.astype(np.float32), one.astype(np.float32), sieve, everywhere, sources
+
 
-    def __init__(self, two: np.ndarray, one: np.ndarray, everywhere: dict[int, float], sources: DataFrame):
-        self.two, self.one, self.everywhere, self.sources = two.astype(np.float32), one.astype(np.float32), everywhere, sources
+def _slot(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % SIEVE
 
 
 def fit(records: DataFrame, rounds: int = 2) -> Decoder:
-    """Learn the ciphers of every source. records: source, text."""
+    """Learn the ciphers of every source. records: source, text.
+
+    Tokens are judged once for the whole corpus in each round; sources enter where the judgements are weighed.
+    """
     spark = records.sparkSession
     width = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tokens = cut(token_counts(records).repartition(width, "token"))
+    by_source = cut(token_counts(records))
+    tokens = cut(by_source.groupBy("token").agg(F.sum("n").alias("n")).repartition(width, "token"))
     two, one = count_bigrams(tokens, "token", read=_start)
     won, everywhere = None, dict(_FIRST)
     for _ in range(rounds):
@@ -336,46 +354,55 @@ def fit(records: DataFrame, rounds: int = 2) -> Decoder:
             lm, weights = Bigrams(*held.value[:2]), held.value[2]
             for b in batches:
                 got = [_best(t, lm, weights) for t in b["token"]]
-                yield pd.DataFrame({"source": b["source"], "n": b["n"], "reading": [x[0] for x in got], "pair": [x[1] for x in got], "lead": [x[2] for x in got]})
+                yield pd.DataFrame({"token": b["token"], "n": b["n"], "reading": [x[0] for x in got], "pair": [x[1] for x in got], "lead": [x[2] for x in got], "suspect": [x[3] for x in got]})
 
-        won = tokens.mapInPandas(part, "source string, n long, reading string, pair int, lead double")
-        won = cut(won)
+        won = cut(tokens.mapInPandas(part, "token string, n long, reading string, pair int, lead double, suspect boolean"))
         two, one = count_bigrams(won)
-        held_by = dict(won.groupBy("pair").agg(F.sum("n")).collect())  # one row per cipher
+        held_by = dict(won.groupBy("pair").agg(F.sum("n")).collect())  # one row for each cipher
         everywhere = {k: n / sum(held_by.values()) for k, n in held_by.items() if k >= 0}
-    sure = F.when(F.col("pair") < 0, 0.0).otherwise(1 / (1 + F.exp(-F.col("lead"))))
-    by = won.groupBy("source", "pair").agg(F.sum(sure * F.col("n")).alias("w"), F.sum("n").alias("n"))
-    total = by.groupBy("source").agg(
-        F.sum("n").alias("all"),
-        F.map_from_entries(F.filter(F.collect_list(F.struct("pair", "w")), lambda x: x["pair"] >= 0)).alias("w"),
-    )
-    sources = total.select("source", "all", "w").where(F.size("w") > 0)
-    return Decoder(two, one, everywhere, cut(sources))
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"slot": np.unique([_slot(t) for t in b["token"]])})
+
+    sieve = np.zeros(SIEVE, dtype=bool)
+    sieve[won.where("suspect").select("token").mapInPandas(slots, "slot int").distinct().toPandas()["slot"].to_numpy(dtype=int)] = True
+    garbled_by = by_source.join(won.where("pair >= 0").select("token", "pair", "lead"), "token").groupBy("source", "pair").agg(F.sum(F.col("n") / (1 + F.exp(-F.col("lead")))).alias("w"))
+    weights = garbled_by.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("pair", "w"))).alias("w"))  # at most one entry for each cipher
+    sizes = by_source.groupBy("source").agg(F.sum("n").alias("all"))
+    return Decoder(two, one, sieve, everywhere, cut(weights.join(sizes, "source")))
 
 
 def restored(records: DataFrame, decoder: Decoder) -> DataFrame:
     """records (rec_table, rec_key, source, text) that are garbled, with `restored` text (null where bytes are lost) and `cipher`."""
     spark = records.sparkSession
-    held = spark.sparkContext.broadcast((decoder.two, decoder.one, decoder.everywhere))
-    suspect = records.where(F.col("text").rlike("[^\\x00-\\x7F]")).withColumn("salt", F.pmod(F.xxhash64("rec_key"), F.lit(SALTS)).cast("int"))
+    held = spark.sparkContext.broadcast((decoder.two, decoder.one, decoder.everywhere, decoder.sieve))
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sieve = held.value[3]
+        for b in batches:
+            yield b[[ "\ufffd" in t or any(_HIGH.search(x) and sieve[_slot(x)] for x in _TOKEN.findall(t)) for t in b["text"]]]
+
+    suspect = records.where(F.col("text").rlike("[^\\x00-\\x7F]")).select("rec_table", "rec_key", "source", "text").mapInPandas(sift, "rec_table string, rec_key string, source string, text string")
+    salted = suspect.withColumn("salt", F.pmod(F.xxhash64("rec_key"), F.lit(SALTS)).cast("int"))
     weights = decoder.sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = suspect.join(weights, ["source", "salt"], "left").select("rec_table", "rec_key", "text", "all", F.map_entries("w").alias("w"))
+    both = salted.join(weights, ["source", "salt"], "left").select("rec_table", "rec_key", "text", "all", F.map_entries("w").alias("w"))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm, everywhere = Bigrams(*held.value[:2]), held.value[2]
-        known = functools.lru_cache(200_000)(lambda t: judged(t, lm))
+        lm, everywhere, sieve = Bigrams(*held.value[:2]), held.value[2], held.value[3]
+        known = functools.lru_cache(100_000)(lambda t: judged(t, lm))
         for b in batches:
             rows = []
             for table, key, text, n, w in zip(b["rec_table"], b["rec_key"], b["text"], b["all"], b["w"]):
                 own = {x["key"]: x["value"] for x in w} if w is not None else {}
                 n = 0.0 if n is None or n != n else n
                 weights = {k: (own.get(k, 0.0) + STRENGTH * everywhere.get(k, 0.0)) / (n + STRENGTH) for k in {*own, *everywhere}}
-                lost = "�" in text
+                lost = "\ufffd" in text
                 pairs: dict[int, int] = {}
 
                 def swap(m: re.Match) -> str:
                     t = m[0]
-                    if not _HIGH.search(t):
+                    if not _HIGH.search(t) or not sieve[_slot(t)]:
                         return t
                     plain, got = known(t)
                     lead, k, d = max(((score - plain + math.log(max(weights.get(k, 0.0), _FIRST.get(k, FLOOR))), k, d) for k, d, score in got), default=(0.0, -1, t))
