@@ -135,19 +135,20 @@ class Splitter:
             end = None
             opens = CLOSING.get(c)
             if opens and not (c == "“" and self._closes(text, i)):
-                j = self._closer(text, i, b, c, opens)
-                if j is not None:
-                    end = self._after_quote(text, i, j, b)
-                    i = j + 1
-                    if end is None:
-                        continue
+                j = text.find(opens, i + 1, b)
+                if j < 0:  # never closed: an ordinary character
+                    i += 1
+                    continue
+                end = self._after_quote(text, i, j, b)
+                i = j + 1
             elif c in "(（":
-                j = text.find(")" if c == "(" else "）", i + 1, b)
-                if 0 < j - i < 400:
-                    alone = not text[start:i].strip() and text[j - 1] in STOPS
-                    i = j + 1
-                    if not alone:
-                        continue
+                j = min((k for k in (text.find(z, i + 1, b) for z in ")）") if k >= 0), default=-1)  # widths may be mixed
+                if j < 0:
+                    i += 1
+                    continue
+                alone = not text[start:i].strip() and text[j - 1] in STOPS
+                i = j + 1
+                if alone:
                     end = i
             elif c in STOPS:
                 j = i
@@ -179,11 +180,6 @@ class Splitter:
         """Whether “ at i closes a German quotation: a letter or stop stands before it."""
         return i > 0 and not text[i - 1].isspace() and text[i - 1] not in "(：:" and "„" in text[max(0, i - 300) : i] and not _EAST.match(text[i - 1])
 
-    @staticmethod
-    def _closer(text: str, i: int, b: int, c: str, closer: str) -> int | None:
-        j = text.find(closer, i + 1, min(b, i + 600))
-        return j if j >= 0 else None
-
     def _after_quote(self, text: str, i: int, j: int, b: int) -> int | None:
         """End of the sentence if the quotation text[i..j] ends it."""
         k = j + 1
@@ -253,7 +249,7 @@ class Splitter:
         if not token:
             return True
         east = bool(_EAST.match(lead))
-        if token[-1].isdigit():
+        if token[-1].isdecimal():
             number = re.search(r"\d+$", token)[0]
             return not (nxt in GERMAN_MONTHS and len(number) <= 2 and token == number)
         if lead.isdigit():
