@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from folioweave.operators import recall
+
+_MODULES = [recall]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
