@@ -168,9 +168,9 @@ def _utf8_runs(s: str, read_as: str) -> tuple[str, bool]:
     return _RUN.sub(once, s), done > 0
 
 
-def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict[str, int]:
-    """Each distinct decipherment of a token nearly all whose characters are known -> index of the first pair that gives it."""
-    out: dict[str, int] = {}
+def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict[str, list[int]]:
+    """Each distinct decipherment of a token nearly all whose characters are known -> indexes of all pairs that give it."""
+    out: dict[str, list[int]] = {}
     high = {ord(c) for c in token if ord(c) > 127}
     n_high = sum(ord(c) > 127 for c in token)
     fits = {r: r == "gb18030" or any(x in _page(r)[1] for x in high) for r in READ_AS}
@@ -194,8 +194,7 @@ def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict
                 d = decipher(d, r, m) or d  # twice misread
             if sum(not known(c) for c in d.lower()) * 8 > len(d):
                 continue
-        if d not in out:
-            out[d] = k
+        out.setdefault(d, []).append(k)
     return out
 
 
@@ -294,10 +293,10 @@ class Bigrams:
 
 
 def judged(token: str, lm: Bigrams) -> tuple[float, list[tuple[int, str, float]]]:
-    """Score of a token as it stands, and its three best decipherments (pair, reading, score)."""
+    """Score of a token as it stands, and all its decipherments (pair, reading, score): a cipher's weight may make any of them win."""
     plain = lm.score(_fold(token))
-    got = sorted(((k, d, lm.score(d.lower())) for d, k in readings(token, lm.known).items()), key=lambda x: (-x[2], x[0]))
-    return plain, got[:3]
+    got = [(ks, d, lm.score(d.lower())) for d, ks in readings(token, lm.known).items()]
+    return plain, sorted(((k, d, score) for ks, d, score in got for k in ks), key=lambda x: (-x[2], x[0]))
 
 
 def _best(token: str, lm: Bigrams, weights: dict[int, float]) -> tuple[str, int, float, bool]:
@@ -390,7 +389,7 @@ def restored(records: DataFrame, decoder: Decoder) -> DataFrame:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm, everywhere, sieve = Bigrams(*held.value[:2]), held.value[2], held.value[3]
-        known = functools.lru_cache(100_000)(lambda t: judged(t, lm))
+        known = functools.lru_cache(10_000)(lambda t: judged(t, lm))
         for b in batches:
             rows = []
             for table, key, text, n, w in zip(b["rec_table"], b["rec_key"], b["text"], b["all"], b["w"]):

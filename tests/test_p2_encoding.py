@@ -1,0 +1,39 @@
+"""Every decipherment of a token competes with its cipher's weight."""
+
+from folioweave.llm import p2_encoding as p2
+
+
+class Model:
+    """Likes the readings in this order, each by less than a cipher's weight."""
+
+    def __init__(self, order):
+        self.order = order
+
+    def known(self, ch):
+        return True
+
+    def score(self, folded):
+        return -50.0 + (20.0 - 0.1 * self.order.index(folded) if folded in self.order else 0.0)
+
+
+TOKEN = "река".encode("koi8_r").decode("cp1251")
+TRUE = "река"
+PAIR = p2.PAIRS.index(("cp1251", "koi8_r"))
+
+
+def test_a_reading_that_ranks_low_wins_under_a_well_known_cipher():
+    rivals = sorted({d.lower() for d in p2.readings(TOKEN)} - {TRUE})
+    assert len(rivals) > 5
+    got = p2._best(TOKEN, Model([*rivals[:5], TRUE]), {PAIR: 0.9})
+    assert got[:2] == (TRUE, PAIR)
+
+
+def test_a_reading_keeps_every_pair_that_gives_it():
+    for token in (TOKEN, "é".encode().decode("latin-1") + "cole"):
+        for d, ks in p2.readings(token).items():
+            for k in ks:
+                assert p2.decipher(token, *p2.PAIRS[k]) is not None
+    shared = next(ks for ks in p2.readings("Ã©cole").values() if len(ks) > 1)
+    token, reading = "Ã©cole", "école"
+    k = p2.readings(token)[reading][-1]
+    assert k in shared and p2._best(token, Model([reading]), {k: 0.9})[:2] == (reading, k)
