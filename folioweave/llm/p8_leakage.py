@@ -29,8 +29,9 @@ from folioweave.session import small_side
 from folioweave.sources.tables import table
 
 RUN = 12
-# The masks (1: the word counts). All have span 12; they ignore two to four inner words.
-MASKS = ["111111111111", "110111011011", "101101110111", "111010111101"]
+# The masks (1: the word counts). All have span 12; they ignore two to four inner words; the last two
+# reach passages in which every fifth or sixth word is another.
+MASKS = ["111111111111", "110111011011", "101101110111", "111010111101", "111011110111", "111011111011"]
 MOST_HELD = 2_000_000  # hashes: 16 MB
 MISMATCHES = 0.2  # share of substituted words that a tolerant overlap may have
 
@@ -164,7 +165,7 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tolerant(spark: SparkSession, folder: str) -> DataFrame:
-    """p8_leaks: every pair with a tolerant overlap of RUN words or more, substitutions included, with its extent."""
+    """p8_leaks: every pair that shares a seed and has a tolerant overlap of RUN words or more, substitutions included, with its extent."""
     return _leaks(spark, folder).where(F.col("overlap_matches") >= RUN)
 
 
