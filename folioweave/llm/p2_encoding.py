@@ -116,21 +116,30 @@ def decipher(s: str, read_as: str, meant: str) -> str | None:
     return None if out == s or any(map(_broken, out)) else out
 
 
-def _runs(s: str, read_as: str, meant: str) -> str | None:
-    """Undo a two-byte page in each run of characters the wrong page has, so that clean neighbours may stay."""
-    back, out, done, i = _page(read_as)[1], [], False, 0
+def _pieces(s: str, read_as: str) -> list[str | bytes]:
+    """`s` in pieces: bytes for a run of characters the page has, some of them high; text for everything else."""
+    back, out, i = _page(read_as)[1], [], 0
     while i < len(s):
         j = i
         while j < len(s) and ord(s[j]) in back:
             j += 1
         run = s[i:j]
-        if _HIGH.search(run):
+        out.append(run if run.isascii() else bytes([back[ord(c)] for c in run]))
+        out.append(s[j : j + 1])
+        i = j + 1
+    return out
+
+
+def _runs(s: str, read_as: str, meant: str, pieces: list[str | bytes] | None = None) -> str | None:
+    """Undo a two-byte page in each run of characters the wrong page has, so that clean neighbours may stay."""
+    back, out, done = _page(read_as)[0], [], False
+    for x in _pieces(s, read_as) if pieces is None else pieces:
+        if isinstance(x, bytes):
             try:
-                run, done = bytes([back[ord(c)] for c in run]).decode(meant), True
+                x, done = x.decode(meant), True
             except UnicodeDecodeError:
-                pass
-        out.append(run + s[j : j + 1])
-        i = j + 1
+                x = "".join(back[b] for b in x)
+        out.append(x)
     return "".join(out) if done else None
 
 
@@ -168,34 +177,103 @@ def _utf8_runs(s: str, read_as: str) -> tuple[str, bool]:
     return _RUN.sub(once, s), done > 0
 
 
-def readings(token: str, known: Callable[[str], bool] = lambda ch: True) -> dict[str, list[int]]:
-    """Each distinct decipherment of a token nearly all whose characters are known -> indexes of all pairs that give it."""
-    out: dict[str, list[int]] = {}
-    high = {ord(c) for c in token if ord(c) > 127}
-    n_high = sum(ord(c) > 127 for c in token)
-    fits = {r: r == "gb18030" or any(x in _page(r)[1] for x in high) for r in READ_AS}
-    for k, (r, m) in enumerate(PAIRS):
-        if not fits[r]:
-            continue
-        if m in ONE_BYTE:
-            table = cipher_table(r, m)
-            if not high <= table.keys() or sum(not known(c) for x in high for c in table[x].lower()) * 5 > len(high):
-                continue
-            d = token.translate(table)
-            if d == token or any(map(_broken, d)):
-                continue
-        else:
-            if n_high < 2 and r != "gb18030":
-                continue
-            d = decipher(token, r, m)
-            if d is None:
-                continue
-            if m == "utf-8" and _HIGH.search(d):
-                d = decipher(d, r, m) or d  # twice misread
-            if sum(not known(c) for c in d.lower()) * 8 > len(d):
+_ONE_BYTE_PAIRS = [(k, cipher_table(r, m)) for k, (r, m) in enumerate(PAIRS) if m in ONE_BYTE and r != "gb18030"]
+_OTHER_PAIRS = [(r, [(k, m) for k, (s, m) in enumerate(PAIRS) if s == r and m not in ONE_BYTE]) for r in READ_AS]
+
+
+@functools.cache
+def _utf8_parts(ch: str) -> tuple[int, int]:
+    """In which pages (a bit each) a character is a first, and a later, byte of UTF-8."""
+    first = later = 0
+    for i, r in enumerate(READ_AS):
+        b = _page(r)[1].get(ord(ch)) if r != "gb18030" else None
+        if b is not None:
+            first |= (0xC2 <= b < 0xF5) << i
+            later |= (0x80 <= b < 0xC0) << i
+    return first, later
+
+
+class _Reader:
+    """Decipherments of tokens; what a character can be under each pair is worked out once."""
+
+    def __init__(self, known: Callable[[str], bool]):
+        self.known, self.held = functools.cache(known), {}
+
+    def _char(self, ch: str) -> tuple[int, int]:
+        """Pairs of one-byte pages (a bit each) that give the character a meaning, and those that give a known one."""
+        got = self.held.get(ch)
+        if got is None:
+            fit = seen = 0
+            for i, (_, t) in enumerate(_ONE_BYTE_PAIRS):
+                to = t.get(ord(ch))
+                if to is not None and not any(map(_broken, to)):
+                    fit |= 1 << i
+                    seen |= all(map(self.known, to.lower())) << i
+            got = self.held[ch] = fit, seen
+        return got
+
+    def __call__(self, token: str) -> dict[str, list[int]]:
+        out: dict[int, str] = {}
+        high = {c for c in token if ord(c) > 127}
+        if not any(ord(c) < 128 and _broken(c) for c in token):
+            chars = [self._char(c) for c in high]
+            fit = functools.reduce(int.__and__, (f for f, _ in chars), -1) if chars else 0
+            if len(chars) < 5:  # not one may be unknown
+                fit = functools.reduce(int.__and__, (s for _, s in chars), fit)
+            while fit > 0:
+                i = (fit & -fit).bit_length() - 1
+                fit &= fit - 1
+                if sum(not s >> i & 1 for _, s in chars) * 5 <= len(chars):
+                    k, table = _ONE_BYTE_PAIRS[i]
+                    d = token.translate(table)
+                    if d != token:
+                        out[k] = d
+        self._others(token, high, out)
+        by: dict[str, list[int]] = {}
+        for k in sorted(out):
+            by.setdefault(out[k], []).append(k)
+        return by
+
+    def _others(self, token: str, high: set[str], out: dict[int, str]) -> None:
+        many = sum(ord(c) > 127 for c in token) >= 2
+        first = later = 0
+        for c in high:
+            a, b = _utf8_parts(c)
+            first, later = first | a, later | b
+        for i, (r, pairs) in enumerate(_OTHER_PAIRS):
+            if r == "gb18030":
+                tries = [(k, decipher(token, r, m)) for k, m in pairs]
+            elif not many or not any(ord(c) in _page(r)[1] for c in high):
                 continue
-        out.setdefault(d, []).append(k)
-    return out
+            else:
+                pieces, tries = _pieces(token, r), []
+                for k, m in pairs:
+                    if m != "utf-8":
+                        d = _runs(token, r, m, pieces)
+                        tries.append((k, None if d is None or d == token or any(map(_broken, d)) else d))
+                    elif (first & later) >> i & 1:
+                        tries.append((k, decipher(token, r, m)))
+            for k, d in tries:
+                if d is None:
+                    continue
+                if PAIRS[k][1] == "utf-8" and _HIGH.search(d):
+                    d = decipher(d, r, "utf-8") or d  # twice misread
+                if sum(not self.known(c) for c in d.lower()) * 8 <= len(d):
+                    out[k] = d
+
+
+@functools.lru_cache(4)
+def _reader(known: Callable[[str], bool]) -> _Reader:
+    return _Reader(known)
+
+
+def _any(ch: str) -> bool:
+    return True
+
+
+def readings(token: str, known: Callable[[str], bool] = _any) -> dict[str, list[int]]:
+    """Each distinct decipherment of a token nearly all whose characters are known -> indexes of all pairs that give it."""
+    return _reader(known)(token)
 
 
 # Cyrillic and Greek letters that look like the Latin one beneath; they are no sign of a wrong page.
@@ -225,13 +303,18 @@ def _one_script(m: re.Match) -> str:
     return w.translate(_TO_CYRILLIC if _STRICT_CYRILLIC.search(w) else _TO_LATIN)
 
 
+@functools.lru_cache(1 << 18)
+def _pair_slots(two: str) -> tuple[int, int]:
+    h = zlib.crc32(two.encode("utf-16-le", "surrogatepass"))
+    return h % BUCKETS, BUCKETS + (h * 0x9E3779B1 & 0xFFFFFFFF) // (1 << 15) % BUCKETS
+
+
 def _slots(s: str) -> tuple[list[int], list[int]]:
     """Slots of a folded token's bigrams (two each, one in each row of the sketch), and of its characters."""
     s = f" {s} "
     two = []
     for i in range(len(s) - 1):
-        h = zlib.crc32(s[i : i + 2].encode("utf-16-le", "surrogatepass"))
-        two += (h % BUCKETS, BUCKETS + (h * 0x9E3779B1 & 0xFFFFFFFF) // (1 << 15) % BUCKETS)
+        two += _pair_slots(s[i : i + 2])
     return two, [ord(c) % UNIGRAMS for c in s]
 
 
@@ -242,8 +325,13 @@ _TELLING = ["latin-1", "cp1252+", "mac_roman", "cp437"]
 
 
 def _start(token: str) -> str:
+    first = later = 0
+    for c in token:
+        if ord(c) > 127:
+            a, b = _utf8_parts(c)
+            first, later = first | a, later | b
     for r in _TELLING:
-        d = decipher(token, r, "utf-8")
+        d = decipher(token, r, "utf-8") if (first & later) >> READ_AS.index(r) & 1 else None
         if d is not None:
             return decipher(d, r, "utf-8") or d
     return token
@@ -276,20 +364,20 @@ class Bigrams:
 
     def __init__(self, two: np.ndarray, one: np.ndarray):
         self.two, self.one, self.total = two, one, float(one.sum()) + 1.0
+        self.step = functools.lru_cache(1 << 18)(self._step)
 
     def known(self, ch: str) -> bool:
         return self.one[ord(ch) % UNIGRAMS] > 0
 
+    def _step(self, two: str) -> float:
+        x, y = _pair_slots(two)
+        a, b = float(self.one[ord(two[0]) % UNIGRAMS]), float(self.one[ord(two[1]) % UNIGRAMS])
+        both = min(float(self.two[x]), float(self.two[y]), a, b)
+        return math.log((both + 2.0 * (b + 0.02) / self.total) / (a + 2.0))
+
     def score(self, folded: str) -> float:
-        s2, s1 = _slots(folded)
-        two, one, total = self.two, self.one, self.total
-        out, a = 0.0, float(one[s1[0]])
-        for i in range(len(s1) - 1):
-            b = float(one[s1[i + 1]])
-            both = min(two[s2[2 * i]], two[s2[2 * i + 1]], a, b)
-            out += math.log((both + 2.0 * (b + 0.02) / total) / (a + 2.0))
-            a = b
-        return out
+        s, step = f" {folded} ", self.step
+        return sum([step(s[i : i + 2]) for i in range(len(s) - 1)])
 
 
 def judged(token: str, lm: Bigrams) -> tuple[float, list[tuple[int, str, float]]]:

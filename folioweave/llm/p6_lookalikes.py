@@ -1,15 +1,18 @@
 """Problem 6: one form for text that looks the same.
 
-A transducer over grapheme clusters, compiled once: its table maps widths, styled letters, ligatures, radicals,
-presentation forms, spaces, invisible characters and hyphens; composed clusters replace a letter with its combining
-accent; and letters that look like those of the word's own script are swapped for them. Building the table checks that
-no key has two images and no image holds a key, so one pass is enough and a second changes nothing. The compiled
-pattern takes the longest match at each place and leaves everything else as it is.
+A transducer over grapheme clusters, compiled once. Its keys are single characters (widths, styled letters, ligatures,
+radicals, presentation forms, spaces, invisible characters, hyphens), clusters of a base and the marks that compose
+with it (accents, kana and its voicing marks in either width, Arabic letters and their signs, Indic vowel signs),
+sequences of Korean letters, and words in which one script's letters stand for those of another that look alike.
+Building the table checks that no key has two images and no image holds a key, so one pass is enough and a second
+changes nothing. The compiled pattern takes the longest match at each place: a mixed word, else a cluster, else a
+character.
 
 Kept on purpose: Chinese and Japanese punctuation, joiners between letters of scripts that use them and within emoji,
 superscripts and other signs that look unlike any plain character, foreign letters in words of their own.
 
-Defined results: null and empty texts are never found and stay as they are; repeated rows give one result row.
+Defined results: null and empty texts are never found and stay as they are; null names, entities and relations are
+passed over; repeated rows give one result row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm import p2_encoding
+from folioweave.session import cut
 from folioweave.sources.tables import table
 
 # Ranges whose compatibility form looks the same (styled letters, ligatures, radicals, presentation and
@@ -37,6 +41,7 @@ JOINERS = "\u200c\u200d"
 # Letters that look like the Latin letter beneath.
 LOOK_CYRILLIC, AS_LATIN = "аеорсухіјѕһԁԛԝАВЕКМНОРСТХУІЈЅ", "aeopcyxijshdqwABEKMHOPCTXYIJS"
 LOOK_GREEK, GREEK_AS_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυιρ", "ABEZHIKMNOPTYXovuip"
+LOOK_ARMENIAN, ARMENIAN_AS_LATIN = "օսոհցզՕՍՏԼ", "ounhgqOUSL"
 
 _EAST = re.compile("[\u2e80-\u9fff\uf900-\ufaff\u3000-\u30ff\uff00-\uffef\uac00-\ud7a3]")
 
@@ -61,20 +66,60 @@ def _mapping() -> dict[str, str]:
     return out
 
 
-_GREEK, _CYRILLIC = re.compile("[Ͱ-Ͽ]"), re.compile("[Ѐ-ӿ]")
+def _compositions() -> tuple[set[str], set[str]]:
+    """Characters that begin a canonical composition, and those that end one."""
+    firsts, marks = set(), set()
+    for cp in range(0xC0, 0x30000):
+        parts = unicodedata.decomposition(chr(cp))
+        if parts and parts[0] != "<" and " " in parts:
+            a, b = (chr(int(x, 16)) for x in parts.split())
+            if unicodedata.normalize("NFC", a + b) == chr(cp):
+                firsts.add(a)
+                marks.add(b)
+    return firsts, marks
+
+
+def _class(chars: set[str] | str) -> str:
+    """The inside of a character class, as runs, in a notation that Python's and Java's patterns share."""
+    cps, runs = sorted(map(ord, chars)), []
+    for cp in cps:
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def _java(pattern: str) -> str:
+    return re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", pattern)
+
+
+_GREEK, _CYRILLIC, _ARMENIAN = re.compile("[Ͱ-Ͽ]"), re.compile("[Ѐ-ӿ]"), re.compile("[\u0531-\u0587]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
-_TO_LATIN = dict(zip(LOOK_CYRILLIC + LOOK_GREEK, AS_LATIN + GREEK_AS_LATIN))
-_TO_CYRILLIC = {b: a for a, b in zip(LOOK_CYRILLIC, AS_LATIN)} | {"g": "g"}
-_SCRIPT_WORD = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u03ff\u0400-\u04ff\u0300-\u036f\u00ad\u200b\u2060\ufeff\u200c\u200d]"
+_TO_LATIN = dict(zip(LOOK_CYRILLIC + LOOK_GREEK + LOOK_ARMENIAN, AS_LATIN + GREEK_AS_LATIN + ARMENIAN_AS_LATIN))
+_TO_CYRILLIC = {b: a for a, b in zip(LOOK_CYRILLIC, AS_LATIN)}
+# What may stand within a word without being a letter of any script.
+_WITHIN = "\\u0300-\\u036f\\u00ad\\u200b\\u2060\\ufeff\\u200c\\u200d"
+_L = f"A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f{_WITHIN}"
+_O = f"\\u0370-\\u03ff\\u0400-\\u04ff\\u0531-\\u0587{_WITHIN}"
+_MIXED = f"(?:[{_L}]++(?=[{_O}])|[{_O}]++(?=[{_L}]))"
+# Korean letters, first, middle and last, that compose to syllables.
+_JAMO = "[\\u1100-\\u1112][\\u1161-\\u1175][\\u11a8-\\u11c2]?|[\\uac00-\\ud7a3][\\u11a8-\\u11c2]"
+_HALF_MARKS = "\uff9e\uff9f"
 
 
 class Transducer:
     def __init__(self):
         self.table = _mapping()
-        singles = "".join(re.escape(c) for c in sorted(self.table))
-        # Longest first: a word that mixes scripts, a letter with combining accents, a joiner, a single character.
-        self.pattern = re.compile(f"(?P<word>{_SCRIPT_WORD}*[Ͱ-ϿЀ-ӿ]{_SCRIPT_WORD}*)|(?P<cluster>[^\\W\\d_][\\u0300-\\u036f]+)|(?P<joiner>[{JOINERS}])|(?P<one>[{singles}])")
-        self.inner = re.compile(f"(?P<cluster>[^\\W\\d_][\\u0300-\\u036f]+)|(?P<joiner>[{JOINERS}])|(?P<one>[{singles}])")
+        firsts, marks = _compositions()
+        marks -= {chr(c) for c in range(0x1161, 0x11C3)}
+        singles, self.marks = _class(set(self.table)), _class(marks | set(_HALF_MARKS))
+        cluster = f"(?:[^\\W\\d_]|[{_class(firsts)}])[{self.marks}]+|{_JAMO}"
+        rest = f"(?P<cluster>{cluster})|(?P<joiner>[{JOINERS}])|(?P<one>[{singles}])"
+        self.pattern = re.compile(f"(?P<word>(?<![{_L}{_O}]){_MIXED}[{_L}{_O}]++)|{rest}")
+        self.inner = re.compile(rest)
+        # What a text must hold for the transducer to touch it; Spark skips other rows without Python.
+        self.touches = _java(f"[{singles}{self.marks}{JOINERS}\\U00001161-\\U000011c2]|{_MIXED}")
 
     def __call__(self, text: str) -> str:
         return self.pattern.sub(self._image, text)
@@ -84,7 +129,7 @@ class Transducer:
         if kind == "word":
             return self.inner.sub(self._image, self._one_script(s))
         if kind == "cluster":
-            return unicodedata.normalize("NFC", s)
+            return unicodedata.normalize("NFC", "".join(self.table.get(c, c) for c in s))
         if kind == "joiner":
             return s if _joins(m.string, m.start()) else ""
         if s == "\u3000":
@@ -95,12 +140,12 @@ class Transducer:
     def _one_script(w: str) -> str:
         if not _LATIN.search(w):
             return w
-        other = [c for c in w if _GREEK.match(c) or _CYRILLIC.match(c)]
+        other = [c for c in w if _GREEK.match(c) or _CYRILLIC.match(c) or _ARMENIAN.match(c)]
         if all(c in _TO_LATIN for c in other):
             return "".join(_TO_LATIN.get(c, c) for c in w)
         latin = [c for c in w if _LATIN.match(c)]
-        if all(c in _TO_CYRILLIC for c in latin) and not any(_GREEK.match(c) for c in w):
-            return "".join(_TO_CYRILLIC[c] if c in _TO_CYRILLIC and c != "g" else c for c in w)
+        if all(c in _TO_CYRILLIC for c in latin) and all(_CYRILLIC.match(c) for c in other):
+            return "".join(_TO_CYRILLIC.get(c, c) for c in w)
         return w
 
 
@@ -133,15 +178,9 @@ def transducer() -> Transducer:
     return Transducer()
 
 
-# Everything the transducer could touch, for Spark to skip other rows without Python.
-TOUCHES = (
-    "[\\u00A0\\u00AD\\u0300-\\u03FF\\u0400-\\u04FF\\u1680\\u180E\\u2000-\\u2011\\u202F\\u205F-\\u2064\\u2126\\u212A\\u212B\\u2E80-\\u2FD5\\u3000\\uF900-\\uFAD9"
-    "\\uFB00-\\uFDC7\\uFE70-\\uFEFF\\uFF01-\\uFF9F]|[\\x{1D400}-\\x{1D7FF}]"
-)
-
-
 def normalised(rows: DataFrame) -> DataFrame:
-    """rows (rec_table, rec_key, text) that the transducer changes, with their `form`."""
+    """rows (rec_table, rec_key, field, source, text) that the transducer changes, with their `form`."""
+    schema = "rec_table string, rec_key string, field string, source string, text string, form string"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer()
@@ -149,32 +188,41 @@ def normalised(rows: DataFrame) -> DataFrame:
             form = b["text"].map(t)
             yield b.assign(form=form)[form != b["text"]]
 
-    return rows.where(F.col("text").rlike(TOUCHES)).select("rec_table", "rec_key", "text").mapInPandas(part, "rec_table string, rec_key string, text string, form string")
+    return rows.where(F.col("text").rlike(transducer().touches)).select("rec_table", "rec_key", "field", "source", "text").mapInPandas(part, schema)
+
+
+def texts_of(chunks: DataFrame) -> DataFrame:
+    """Chunk texts as records; `source` is the file, as problem 2 reads it."""
+    return chunks.where("id is not null and text is not null").select(F.lit("chunks").alias("rec_table"), F.col("id").alias("rec_key"), F.lit("text").alias("field"), F.coalesce("doc", F.lit("")).alias("source"), F.col("text").alias("text"))
 
 
-def records(chunks: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Chunk texts, and all names of an extraction, one to a line."""
-    names = F.concat(
-        F.coalesce(F.transform("entities", lambda e: e["name"]), F.array().cast("array<string>")),
-        F.coalesce(F.flatten(F.transform("relations", lambda r: F.array(r["source"], r["target"]))), F.array().cast("array<string>")),
-    )
-    a = chunks.select(F.lit("chunks").alias("rec_table"), F.col("id").alias("rec_key"), F.col("text").alias("text"))
-    b = extractions.select(F.lit("extractions").alias("rec_table"), F.col("id").alias("rec_key"), F.array_join(names, "\n").alias("text"))
-    return a.unionByName(b).where("rec_key is not null and text is not null")
+def names_of(extractions: DataFrame) -> DataFrame:
+    """Every entity name, relation source and relation target of an extraction, one row each."""
+
+    def names(field: str, each) -> DataFrame:
+        return extractions.where("id is not null").select(F.lit("extractions").alias("rec_table"), F.col("id").alias("rec_key"), F.lit(field).alias("field"), F.lit("").alias("source"), F.explode(each).alias("text"))
+
+    both = F.flatten(F.transform("relations", lambda r: F.array(r["source"], r["target"])))
+    return names("entities", F.transform("entities", lambda e: e["name"])).unionByName(names("relations", both)).where("text is not null")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
-    """p6_found: records that the transducer changes, without chunks that are garbled (problem 2)."""
-    chunks = table(spark, folder, "chunks", "id", "doc", "text")
-    rows = normalised(records(chunks, table(spark, folder, "extractions", "id", "entities", "relations"))).select("rec_table", "rec_key").distinct()
-    garbled = p2_encoding.found(spark, folder)
-    return rows.join(garbled, ["rec_table", "rec_key"], "left_anti")
+    """p6_found: records that the transducer changes, without chunks that are garbled (problem 2).
+
+    Problem 2 learns from all its records, but judges here only the chunks that changed: no other can be taken away.
+    """
+    chunks, runs = table(spark, folder, "chunks", "id", "doc", "text"), table(spark, folder, "conv_results", "conv_id", "project", "method")
+    changed = cut(normalised(texts_of(chunks)))
+    garbled = p2_encoding.restored(changed, p2_encoding.fit(p2_encoding.records_of(chunks, runs)))
+    names = normalised(names_of(table(spark, folder, "extractions", "id", "entities", "relations")))
+    mine = changed.select("rec_table", "rec_key").distinct().join(garbled.select("rec_key"), "rec_key", "left_anti")
+    return mine.select("rec_table", "rec_key").unionByName(names.select("rec_table", "rec_key").distinct())
 
 
 def forms(spark: SparkSession, folder: str) -> DataFrame:
-    """p6_forms: every record that changes, with its one form."""
-    rows = records(table(spark, folder, "chunks", "id", "text"), table(spark, folder, "extractions", "id", "entities", "relations"))
-    return normalised(rows).select("rec_table", "rec_key", "form").dropDuplicates(["rec_table", "rec_key"])
+    """p6_forms: every chunk text and every name that changes, with its one form."""
+    rows = texts_of(table(spark, folder, "chunks", "id", "doc", "text")).unionByName(names_of(table(spark, folder, "extractions", "id", "entities", "relations")))
+    return normalised(rows).select("rec_table", "rec_key", "field", "text", "form").distinct()
 
 
 QUERIES = {"p6_found": found, "p6_forms": forms}
