@@ -80,7 +80,7 @@ def _compositions() -> tuple[set[str], set[str]]:
 
 
 def _class(chars: set[str] | str) -> str:
-    """The inside of a character class, as runs, in a notation that Python's and Java's patterns share."""
+    """The inside of a character class, as runs, in the notation of Python's patterns."""
     cps, runs = sorted(map(ord, chars)), []
     for cp in cps:
         if runs and runs[-1][1] == cp - 1:
@@ -90,10 +90,6 @@ def _class(chars: set[str] | str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-def _java(pattern: str) -> str:
-    return re.sub(r"\\U([0-9a-f]{8})", r"\\x{\1}", pattern)
-
-
 _GREEK, _CYRILLIC, _ARMENIAN = re.compile("[Ͱ-Ͽ]"), re.compile("[Ѐ-ӿ]"), re.compile("[\u0531-\u0587]")
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 _TO_LATIN = dict(zip(LOOK_CYRILLIC + LOOK_GREEK + LOOK_ARMENIAN, AS_LATIN + GREEK_AS_LATIN + ARMENIAN_AS_LATIN))
@@ -118,8 +114,18 @@ class Transducer:
         rest = f"(?P<cluster>{cluster})|(?P<joiner>[{JOINERS}])|(?P<one>[{singles}])"
         self.pattern = re.compile(f"(?P<word>(?<![{_L}{_O}]){_MIXED}[{_L}{_O}]++)|{rest}")
         self.inner = re.compile(rest)
-        # What a text must hold for the transducer to touch it; Spark skips other rows without Python.
-        self.touches = _java(f"[{singles}{self.marks}{JOINERS}\\U00001161-\\U000011c2]|{_MIXED}")
+        self.touches = self._touches(set(self.table) | marks | set(_HALF_MARKS + JOINERS) | {chr(c) for c in [*range(0x300, 0x370), *range(0x1161, 0x11C3)]})
+
+    @staticmethod
+    def _touches(keys: set[str]) -> str:
+        """What a text must hold for the transducer to touch it, as a pattern of Java: a character outside the widest
+        runs without a key (few ranges, the commonest first, so that most characters take one comparison), or letters of
+        two scripts side by side. Spark skips other rows without Python."""
+        cps = sorted(ord(c) for c in keys)
+        free = sorted(((b - a - 1, a + 1, b - 1) for a, b in zip([-1, *cps], [*cps, 0x110000]) if b - a > 24), key=lambda x: x[1])
+        runs = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for _, a, b in free)
+        latin, other = "A-Za-z\\x{c0}-\\x{24f}", "\\x{370}-\\x{4ff}\\x{531}-\\x{587}"
+        return f"[^{runs}]|[{latin}](?=[{other}])|[{other}](?=[{latin}])"
 
     def __call__(self, text: str) -> str:
         return self.pattern.sub(self._image, text)
@@ -188,7 +194,8 @@ def normalised(rows: DataFrame) -> DataFrame:
             form = b["text"].map(t)
             yield b.assign(form=form)[form != b["text"]]
 
-    return rows.where(F.col("text").rlike(transducer().touches)).select("rec_table", "rec_key", "field", "source", "text").mapInPandas(part, schema)
+    high = F.length("text") != F.octet_length("text")
+    return rows.where(high & F.col("text").rlike(transducer().touches)).select("rec_table", "rec_key", "field", "source", "text").mapInPandas(part, schema)
 
 
 def texts_of(chunks: DataFrame) -> DataFrame:
