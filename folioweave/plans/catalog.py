@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.operators import recall
+from folioweave.operators import extract, recall, segment, vectors
 
-_MODULES = [recall]
+_MODULES = [recall, segment, extract, vectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
