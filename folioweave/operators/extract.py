@@ -1,5 +1,8 @@
 """Extraction: names, typed relations and facts of every chunk, by column expressions inside the chunk's row.
 
+Rows are exploded with `explode_outer`: `explode` would let the optimizer infer a filter on the array and push it, and with
+it every expression the array is made of, down to the scan, to be evaluated once more.
+
 No shuffle: names are counted by sorting a chunk's matches, the eight most frequent stay, pairs of these are exploded with
 the chunk's sentences only as far as relations need them. Lists are linear in a chunk's length but for the sort.
 
@@ -85,7 +88,7 @@ def single(name: Column) -> Column:
 def entity_type(name: Column, text: Column) -> Column:
     """person, org, place or other."""
     w = F.split(name, " ")
-    titled = text.rlike(F.concat(F.lit(rf"(?<![{W}])(?:{'|'.join(lx.HONORIFICS)})\.?[{WS}]+\Q"), name, F.lit(r"\E")))
+    titled = F.rlike(text, F.concat(F.lit(rf"(?<![{W}])(?:{'|'.join(lx.HONORIFICS)})\.?[{WS}]+\Q"), name, F.lit(r"\E")))
     return (
         F.when(name.rlike("[ঀ-৿]"), "other")
         .when(name.isin(lx.DIVISIONS + lx.DISTRICTS), "place")
@@ -143,13 +146,13 @@ def extracted(chunks: DataFrame) -> DataFrame:
 
 def mentions(rows: DataFrame) -> DataFrame:
     """(id, doc, idx, rank, name, n, type) of the names of `extracted` rows."""
-    return rows.select("id", "doc", "idx", F.explode("entities").alias("e")).select("id", "doc", "idx", "e.rank", "e.name", "e.n", "e.type")
+    return rows.select("id", "doc", "idx", F.explode_outer("entities").alias("e")).where("e is not null").select("id", "doc", "idx", "e.rank", "e.name", "e.n", "e.type")
 
 
 def relations(rows: DataFrame) -> DataFrame:
     """(id, source, relation, target) of every pair of names of a chunk, by the first sentence that holds both."""
     pairs = F.flatten(F.transform("entities", lambda a: F.transform(F.filter("entities", lambda b: b["rank"] > a["rank"]), lambda b: F.struct(a["name"].alias("a"), b["name"].alias("b")))))
-    each = rows.where(F.size("entities") > 1).select("id", "parts", F.explode(pairs).alias("p")).select("id", "p.a", "p.b", F.element_at(F.filter("parts", lambda s: F.contains(s, F.col("p.a")) & F.contains(s, F.col("p.b"))), 1).alias("s"))
+    each = rows.select("id", "parts", F.explode_outer(pairs).alias("p")).select("id", "p.a", "p.b", F.get(F.filter("parts", lambda s: F.contains(s, F.col("p.a")) & F.contains(s, F.col("p.b"))), F.lit(0)).alias("s"))
     return each.where("s is not null").select("id", typed_relation(F.col("s"), F.col("a"), F.col("b")).alias("r")).select("id", "r.source", "r.relation", "r.target")
 
 
@@ -176,7 +179,7 @@ def relations_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def facts_query(spark: SparkSession, folder: str) -> DataFrame:
     """chunk_facts: facts of every chunk."""
-    return extracted(chunk_rows(spark, folder)).select("id", F.posexplode("facts").alias("at", "fact"))
+    return extracted(chunk_rows(spark, folder)).select("id", F.posexplode_outer("facts").alias("at", "fact")).where("fact is not null")
 
 
 def tabular_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,7 +195,7 @@ def scrub_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def bengali_query(spark: SparkSession, folder: str) -> DataFrame:
     """bengali_phrases: Bengali phrases by the number of chunks that hold them."""
-    rows = chunk_rows(spark, folder).select("id", F.explode(F.array_distinct(bengali_names(clean(F.col("text"))))).alias("name"))
+    rows = chunk_rows(spark, folder).select("id", F.explode_outer(F.array_distinct(bengali_names(clean(F.col("text"))))).alias("name")).where("name is not null")
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -214,6 +217,8 @@ def _sql_scrub(x: str) -> str:
 _DEFANG = lambda x: f"regexp_replace({x}, '<<<[{_S}]*(?:{lx.FENCE_NAMES})[{_S}]*>>>', '[delim]', 'gi')"
 # Letters and digits beyond ASCII become _, other characters beyond it - : then the engine's ASCII boundaries are those of Unicode.
 _FOLD = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, '[{_S}]', ' ', 'g'), '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]', '_', 'g'), '[^\x00-\x7F]', '-', 'g')"
+# The same, but a line's end stays one, so that a name broken over lines is not found.
+_FOLD_KEEP = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, '[\x85\xa0\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', chr(9), 'g'), '[^\x00-\x7F\P{{L}}]|[^\x00-\x7F\P{{N}}]', '_', 'g'), '[^\x00-\x7F]', '-', 'g')"
 _HEAD = lambda x: f"CASE WHEN contains({x}, ' ') AND list_contains({_sql_list(lx.STOPWORDS)}, split_part({x}, ' ', 1)) THEN substr({x}, strpos({x}, ' ') + 1) ELSE {x} END"
 _CHUNKS = "SELECT c.id AS id, c.doc AS doc, c.idx AS idx, text FROM (SELECT text, min({'doc': doc, 'idx': idx, 'id': id}) AS c FROM chunks WHERE text IS NOT NULL GROUP BY text)"
 # Names of every chunk, ranked; shared by the queries that start from them.
@@ -238,7 +243,7 @@ _HONOR = rf"'\b(?:{'|'.join(lx.HONORIFICS)})[.]?\s+'"
 TYPED_SQL = rf"""
     ty AS (SELECT top.*, doc, idx, CASE WHEN regexp_matches(name, '[ঀ-৿]') THEN 'other'
         WHEN list_contains({_sql_list(lx.DIVISIONS + lx.DISTRICTS)}, name) THEN 'place' WHEN list_contains({_sql_list(lx.KNOWN_ORGS)}, name) THEN 'org'
-        WHEN regexp_matches({_FOLD("t")}, {_HONOR} || name) THEN 'person'
+        WHEN regexp_matches({_FOLD_KEEP("t")}, {_HONOR} || name) THEN 'person'
         WHEN len(list_intersect(string_split(name, ' '), {_sql_list(lx.ORG_WORDS)})) > 0 THEN 'org'
         WHEN len(list_intersect(string_split(name, ' '), {_sql_list(lx.PLACE_WORDS)})) > 0 THEN 'place' ELSE 'other' END AS type
       FROM top JOIN cl USING (id))"""
@@ -246,7 +251,7 @@ _ABBR = rf"regexp_replace(t, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(lx.ABBREVIATIONS)
 PARTS_SQL = rf"""
     sm AS (SELECT id, regexp_replace(regexp_replace({_ABBR}, '([.!?])[{_S}]+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '([।。！？])[{_S}]*', '\1' || chr(1), 'g') AS t FROM cl),
     pt AS (SELECT id, list_transform(string_split(t, chr(1)), lambda s: {_STRIP(f"regexp_replace(replace(s, chr(2), '.'), '[{_S}]+', ' ', 'g')")}) AS parts FROM sm),
-    ps AS (SELECT id, unnest(parts) AS s, unnest(generate_series(1, len(parts))) AS at FROM pt)"""
+    ps AS (SELECT id, unnest(parts) AS s, unnest(generate_series(1, len(parts))) AS nr FROM pt)"""
 _CUES = " ".join(f"WHEN regexp_matches(gap, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{p})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{name}'" for name, p in lx.CUES)
 _SUB = lambda t, d: " ".join(f"WHEN len(list_intersect(string_split(name, ' '), {_sql_list(k)})) > 0 THEN '{n}'" for n, k in d.items())
 _TAB = lambda x: f"(len(regexp_extract_all({x}, '[|]')) >= 3 OR regexp_matches({x}, '\\p{{Nd}}{{6,}}') OR (len(regexp_extract_all({x}, '[|]')) = 2 AND len(list_filter(string_split({x}, '|'), lambda z: len(list_filter(regexp_split_to_array(z, '[{_S}]+'), lambda y: y != '')) BETWEEN 1 AND 3)) >= 3))"
@@ -269,17 +274,17 @@ SQL = {
     SELECT name, type, coalesce(subtype, '') AS subtype, count(*) AS chunks FROM su GROUP BY ALL""",
     "typed_relations": rf"""WITH {NAMES_SQL}, {PARTS_SQL},
     pr AS (SELECT a.id, a.name AS a, b.name AS b FROM top a JOIN top b ON a.id = b.id AND a.rank < b.rank),
-    fs AS (SELECT pr.id, a, b, min_by(s, at) AS s FROM pr JOIN ps ON pr.id = ps.id AND contains(s, a) AND contains(s, b) GROUP BY ALL),
+    fs AS (SELECT pr.id, a, b, min_by(s, nr) AS s FROM pr JOIN ps ON pr.id = ps.id AND contains(s, a) AND contains(s, b) GROUP BY ALL),
     po AS (SELECT *, strpos(s, a) AS x, strpos(s, b) AS y FROM fs),
     ga AS (SELECT *, CASE WHEN x != y AND greatest(x, y) - least(x, y) - length(CASE WHEN x <= y THEN a ELSE b END) <= {lx.GAP}
         THEN substr(s, least(x, y) + length(CASE WHEN x <= y THEN a ELSE b END), greatest(0, greatest(x, y) - least(x, y) - length(CASE WHEN x <= y THEN a ELSE b END))) END AS gap FROM po),
     cu AS (SELECT *, CASE {_CUES} END AS cue FROM ga)
     SELECT id, CASE WHEN cue IS NULL OR x <= y THEN a ELSE b END AS source, coalesce(cue, 'related_to') AS relation, CASE WHEN cue IS NULL OR x <= y THEN b ELSE a END AS target FROM cu""",
     "chunk_facts": f"""WITH {NAMES_SQL}, {PARTS_SQL},
-    us AS (SELECT id, at, s, regexp_replace({_sql_scrub("s")}, '\\p{{Nd}}{{6,}}', '[number]', 'g') AS fact, EXISTS (SELECT 1 FROM top WHERE top.id = ps.id AND contains(ps.s, top.name)) AS g FROM ps WHERE {_USUAL}),
-    gr AS (SELECT id, bool_or(g AND fact != '') AS any FROM us GROUP BY id),
-    fa AS (SELECT id, fact, min(at) AS at FROM us JOIN gr USING (id) WHERE fact != '' AND (g OR NOT any) GROUP BY ALL),
-    rn AS (SELECT id, fact, row_number() OVER (PARTITION BY id ORDER BY at) AS r FROM fa)
+    us AS (SELECT id, nr, s, regexp_replace({_sql_scrub("s")}, '\\p{{Nd}}{{6,}}', '[number]', 'g') AS fact, len(list_filter(coalesce(names, []), lambda n: contains(s, n))) > 0 AS g FROM ps LEFT JOIN (SELECT id, list(name) AS names FROM top GROUP BY id) USING (id) WHERE {_USUAL}),
+    gr AS (SELECT id, bool_or(g AND fact != '') AS held FROM us GROUP BY id),
+    fa AS (SELECT id, fact, min(nr) AS nr FROM us JOIN gr USING (id) WHERE fact != '' AND (g OR NOT held) GROUP BY ALL),
+    rn AS (SELECT id, fact, row_number() OVER (PARTITION BY id ORDER BY nr) AS r FROM fa)
     SELECT id, (r - 1)::INTEGER AS at, fact FROM rn WHERE r <= {FACTS}""",
     "tabular_pii_facts": f"SELECT doc_id, {_TAB('text')} AS tabular, sha256(regexp_replace(text, '\\p{{Nd}}{{6,}}', '[number]', 'g')) AS redacted FROM documents WHERE text IS NOT NULL",
     "control_token_scrub": "SELECT doc_id, sha256(" + _DEFANG(_sql_scrub("('<|im_start|> ' || text || '  <tool_<tool_call>call>x</ THINK > <<< data >>>')")) + ") AS sha FROM documents WHERE text IS NOT NULL",
