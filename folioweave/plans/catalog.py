@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.operators import extract, recall, segment, vectors
+from folioweave.operators import extract, graph, recall, resolve, segment, vectors
 
-_MODULES = [recall, segment, extract, vectors]
+_MODULES = [recall, segment, extract, resolve, graph, vectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
