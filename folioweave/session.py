@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +43,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and forget how it was made."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` as a table in the shared checkpoint folder and forget how it was made.
+
+    A written table and not `checkpoint()`: that keeps the plan's size estimate and constraints, which multiply from one
+    round of an iteration to the next until planning takes longer than the work. A table has its true size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
