@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.operators import communities, extract, graph, recall, resolve, segment, vectors
+from folioweave.operators import communities, extract, graph, interchange, recall, resolve, segment, vectors
 
-_MODULES = [recall, segment, extract, resolve, graph, communities, vectors]
+_MODULES = [recall, segment, extract, resolve, graph, communities, vectors, interchange]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
