@@ -66,7 +66,7 @@ def siblings(a: Column, b: Column) -> Column:
     """the same words but for one, and that one a number, or the same up to its last digit."""
     x, y = words(a), words(b)
     apart = F.filter(F.zip_with(x, y, lambda s, t: F.struct(s.alias("s"), t.alias("t"))), lambda p: ~p["s"].eqNullSafe(p["t"]))
-    s, t = apart[0]["s"], apart[0]["t"]
+    s, t = F.get(apart, F.lit(0))["s"], F.get(apart, F.lit(0))["t"]
     number = s.rlike(r"^\p{Nd}+$") & t.rlike(r"^\p{Nd}+$")
     last = s.rlike(r"\p{Nd}$") & t.rlike(r"\p{Nd}$") & (F.regexp_replace(s, ".$", "") == F.regexp_replace(t, ".$", ""))
     return F.coalesce((F.size(x) > 0) & (F.size(x) == F.size(y)) & (F.size(apart) == 1) & (number | last), F.lit(False))

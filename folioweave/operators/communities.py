@@ -37,7 +37,7 @@ def _moves(links: DataFrame, own: DataFrame, double: float, turn: int) -> DataFr
     rated = offers.join(total, "c").join(mine, F.col("u") == F.col("u2")).withColumn("stays", F.col("c") == F.col("was"))
     rated = rated.withColumn("gain", F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("stays"), F.col("k")).otherwise(0.0)) / F.lit(double))
     best = rated.groupBy("u").agg(F.min(F.struct((-F.round("gain", 9)).alias("less"), "c")).alias("best"), F.max(F.when(F.col("stays"), F.round("gain", 9))).alias("stay"), F.max("was").alias("was"), F.max("k").alias("k"))
-    goes = (-F.col("best.less") > F.col("stay")) & (F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0)
+    goes = (-F.col("best.less") > F.col("stay")) & (F.pmod(F.xxhash64("u", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
     return best.select("u", F.when(goes, F.col("best.c")).otherwise(F.col("was")).alias("c"), "k", goes.alias("moved"))
 
 
@@ -62,10 +62,10 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, levels
         own = cut(links.groupBy("u").agg(F.sum("w").alias("k")).select("u", F.col("u").alias("c"), "k"))
         any_moved, quiet = False, 0
         for turn in range(rounds):
-            step = cut(_moves(links, own, double, 31 * level + turn))
+            step = cut(_moves(links, own, double, 32 * level + turn))
             moved = step.where("moved").limit(1).count() > 0
             own, any_moved, quiet = step.select("u", "c", "k"), any_moved or moved, 0 if moved else quiet + 1
-            if quiet == 2:  # both halves had their turn
+            if quiet == 3:  # both halves of one division had their turn
                 break
         if not any_moved:
             break

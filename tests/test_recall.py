@@ -6,12 +6,6 @@ import pytest
 
 import __spark_entry__
 from folioweave.operators.recall import query_terms, ranked
-from folioweave.session import local_session
-
-
-@pytest.fixture(scope="module")
-def spark():
-    return local_session(2, 2)
 
 
 def test_every_document_is_scored(spark):
