@@ -2,9 +2,10 @@
 
 A full stop is ambiguous after an abbreviation, an initial or a number. Unambiguous occurrences decide: first those in
 the same document (a word seen with and without its stop; a capitalised word seen in lower case, or inside a
-sentence), then those of the whole corpus, whose counts are a plain aggregation. Words enter the corpus tables if they
-make up RATE of all occurrences, so no table has more than 1 / RATE entries. Scripts bring their own terminators;
-quotations and brackets are taken as wholes.
+sentence), then those of the whole corpus, whose counts are a plain aggregation, exact for every word: each document asks for the words
+around its own full stops, and a join answers. An abbreviation hardly occurs without its stop, and what follows it goes on
+in lower case or with names; after a word that merely ends sentences come words that begin them. Scripts bring their own
+terminators; quotations and brackets are taken as wholes.
 
 Defined results: null, empty and blank texts have no sentences; repeated rows of an id count once; an id asked for
 that has no chunk gives no rows; offsets are in code points, white space between sentences outside.
@@ -20,10 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.operators.lookup import looked_up
 from folioweave.session import cut, small_side
 from folioweave.sources.tables import table
 
-RATE, LEAST = 1e-5, 3
+# An abbreviation stands without its stop once in so many times at most.
+BARE = 50
+# A word is judged by what follows it if that was seen so often.
+SEEN = 3
+# A word that the corpus has in lower case once in so many times at least is no name.
+COMMON = 10
 
 # Terminators, quotation marks (a mark may close what another language opens with it), closers.
 STOPS = ".!?…。！？।॥؟"
@@ -34,7 +41,7 @@ _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _THAI = re.compile("[฀-๿]")
 _TOKEN_BEFORE = re.compile(r"[^\s.(\[“„«「\"—–]*(?:\.[^\s.(\[“„«「\"]+)*$")
 _NEXT = re.compile(r"[\s]*[(“„«「\"'¿¡\[]*([^\s.,;:!?…。！？।؟”»」)\]’'\"]*)")
-_PLAIN_WORD = re.compile(r"[^\W\d_]+")
+_WITHIN = re.compile("[!?…。！？।॥؟”»」』)）]")
 _OCCUR = re.compile(r"([^\W\d_][^\s.,;:!?…।()\[\]“”„«»\"]*)(\.?)(?:[”»)\"’]*)(\s+|$)(?:[“„«(\"¿¡]*)([^\W_]?)([^\s.,;:!?…।()\[\]“”„«»\"]*)")
 
 
@@ -81,8 +88,9 @@ class Knowledge:
         return self.counts.get((kind, key), 0)
 
 
-def corpus_counts(texts: DataFrame, rate: float = RATE, least: int = LEAST) -> dict[tuple[str, str], int]:
-    """Counts over all texts of what is frequent enough to be held."""
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """(kind, word, n) over all texts, and of every word with a stop how many of the capitalised words after it are names
+    and how many begin sentences elsewhere (kinds `names` and `starts`)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,8 +100,29 @@ def corpus_counts(texts: DataFrame, rate: float = RATE, least: int = LEAST) -> d
             yield pd.DataFrame([(k, w, n) for (k, w), n in got.items()], columns=["kind", "word", "n"])
 
     got = cut(texts.where("text is not null").select("text").mapInPandas(part, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
-    total = got.agg(F.sum("n")).first()[0] or 0
-    return {(r["kind"], r["word"]): r["n"] for r in got.where(F.col("n") >= max(least, rate * total)).collect()}
+    pairs = got.where("kind = 'pair'").select(F.substring_index("word", " ", 1).alias("a"), F.substring_index("word", " ", -1).alias("w"), "n")
+    place = got.where("kind in ('start', 'inside')").groupBy(F.col("word").alias("w")).agg(F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0)).alias("start"), F.sum(F.when(F.col("kind") == "inside", F.col("n")).otherwise(0)).alias("inside"))
+    low = got.where("kind = 'lower'").select(F.col("word").alias("l"), F.col("n").alias("low"))
+    head = F.substring("w", 1, 1)
+    told = pairs.where((F.upper(head) == head) & (F.lower(head) != head)).join(place, "w", "left").join(low, F.lower("w") == F.col("l"), "left")
+    low, start, inside = (F.coalesce(c, F.lit(0)) for c in ("low", "start", "inside"))
+    begins = ((low > 0) & (COMMON * low >= start + inside)) | (start > 3 * inside)
+    after = told.groupBy("a", F.when(begins, "starts").otherwise("names").alias("kind")).agg(F.sum("n").alias("n"))
+    return got.unionByName(after.select("kind", F.col("a").alias("word"), "n"))
+
+
+def words_asked(text: str) -> set[str]:
+    """Every word, and pair of words, whose counts the boundaries of a text may depend on."""
+    out = set()
+    for m in re.finditer("[.…!?]+", text):
+        tokens = {_TOKEN_BEFORE.search(text, max(0, i - 40), i)[0].strip("‘’'\"“„«(") for i in range(m.start(), m.end())}
+        tokens |= {_WITHIN.split(t)[-1] for t in tokens}  # a sentence may begin without a space before it
+        at = m.end()
+        while at < len(text) and text[at] in CLOSERS:
+            at += 1
+        nxt = _NEXT.match(text, at)[1]
+        out |= {nxt, nxt.lower(), *tokens, *(f"{t} {nxt}" for t in tokens)}
+    return out - {""}
 
 
 class Splitter:
@@ -229,9 +258,9 @@ class Splitter:
         """Whether a capitalised word begins sentences rather than names."""
         low = word.lower()
         for k in (own, self.corpus):
-            if k("lower", low):
-                return True
             s, n = k("start", word), k("inside", word)
+            if k("lower", low) and (k is own or COMMON * k("lower", low) >= s + n):
+                return True
             if s + n >= (1 if k is own else 3) and (n or s >= 3):
                 return s > n
         return False
@@ -239,9 +268,9 @@ class Splitter:
     def _abbreviation(self, word: str, own: Knowledge) -> bool:
         if own("low", word) or (own("dot", word) and own("bare", word)):
             return bool(own("low", word)) and not own("bare", word)
-        dot, bare, low = (self.corpus(k, word) for k in ("dot", "bare", "low"))
-        if len(word) <= 6 and dot and bare == 0 and (low or len(word) <= 4):
-            return True
+        dot, bare, low, names, starts = (self.corpus(k, word) for k in ("dot", "bare", "low", "names", "starts"))
+        if len(word) <= 6 and dot > 0 and BARE * bare <= dot:
+            return low * 4 >= dot or (dot >= SEEN and (names > 2 * starts and names * 2 >= self.corpus("cap", word) if names + starts else len(word) <= 4))
         return dot > 0 and dot >= 9 * bare and low * 4 >= dot and len(word) <= 8
 
     def _full_stop(self, text: str, i: int, start: int, nxt: str, lead: str, own: Knowledge) -> bool:
@@ -269,29 +298,8 @@ class Splitter:
 
     def _titles(self, token: str) -> bool:
         """Whether names follow an abbreviation: few of the words after it begin sentences, and hardly any is in lower case."""
-        held = self.__dict__.setdefault("_title", {})
-        if token not in held:
-            prefix = token + " "
-            names = starts = 0
-            for w, n in self._pairs().get(token, {}).items():
-                if self.corpus("lower", w.lower()) or self.corpus("start", w) > 3 * self.corpus("inside", w):
-                    starts += n
-                else:
-                    names += n
-            low, cap = self.corpus("low", token), self.corpus("cap", token)
-            held[token] = cap > 0 and names > 4 * starts and low * 4 < cap and len(prefix) <= 7
-        return held[token]
-
-    def _pairs(self) -> dict[str, dict[str, int]]:
-        held = self.__dict__.get("_by_first")
-        if held is None:
-            held = {}
-            for (kind, key), n in self.corpus.counts.items():
-                if kind == "pair":
-                    a, _, w = key.partition(" ")
-                    held.setdefault(a, {})[w] = n
-            self.__dict__["_by_first"] = held
-        return held
+        names, starts, low, cap = (self.corpus(k, token) for k in ("names", "starts", "low", "cap"))
+        return cap > 0 and names > 4 * starts and low * 4 < cap and len(token) <= 6
 
     def _initial(self, text: str, i: int, token: str, start: int, nxt: str, lead: str, own: Knowledge, east: bool) -> bool:
         """A single letter, or letters with stops between, before a capital."""
@@ -319,16 +327,25 @@ _LATIN_CAPITAL = re.compile("[A-ZÀ-ÖØ-ÞА-Я]")
 
 def sentences(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, sent_start, sent_end) of every sentence of the chunks asked for; statistics over all chunks."""
-    spark = chunks.sparkSession
-    held = spark.sparkContext.broadcast(corpus_counts(chunks))
-    mine = chunks.where("text is not null").join(small_side(asked.select("id").where("id is not null").distinct()), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+    counts = corpus_counts(chunks)
+    mine = cut(chunks.where("text is not null").join(small_side(asked.select("id").where("id is not null").distinct()), "id", "left_semi").select("id", "text").dropDuplicates(["id"]))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, w) for i, t in zip(b["id"], b["text"]) for w in words_asked(t)], columns=["id", "word"])
+
+    told = looked_up(mine.where(F.col("text").rlike("[.…!?]")).mapInPandas(ask, "id string, word string"), counts, "word")
+    known = told.groupBy("id").agg(F.collect_list(F.struct("kind", "word", "n")).alias("known"))  # what one text asked for
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = Splitter(Knowledge(held.value))
         for b in batches:
-            yield pd.DataFrame([(i, s, e) for i, t in zip(b["id"], b["text"]) for s, e in split(t)], columns=["id", "sent_start", "sent_end"])
+            rows = []
+            for i, t, k in zip(b["id"], b["text"], b["known"]):
+                held = {(x["kind"], x["word"]): x["n"] for x in k} if k is not None else {}
+                rows += [(i, s, e) for s, e in Splitter(Knowledge(held))(t)]
+            yield pd.DataFrame(rows, columns=["id", "sent_start", "sent_end"])
 
-    return mine.mapInPandas(part, "id string, sent_start long, sent_end long")
+    return mine.join(known, "id", "left").mapInPandas(part, "id string, sent_start long, sent_end long")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
