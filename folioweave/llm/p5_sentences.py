@@ -41,6 +41,7 @@ _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _THAI = re.compile("[฀-๿]")
 _TOKEN_BEFORE = re.compile(r"[^\s.(\[“„«「\"—–]*(?:\.[^\s.(\[“„«「\"]+)*$")
 _NEXT = re.compile(r"[\s]*[(“„«「\"'¿¡\[]*([^\s.,;:!?…。！？।؟”»」)\]’'\"]*)")
+_FIELD, _ROW = "\x1f", "\x1e"  # no word holds them: they are white space
 _WITHIN = re.compile("[!?…。！？।॥؟”»」』)）]")
 _OCCUR = re.compile(r"([^\W\d_][^\s.,;:!?…।()\[\]“”„«»\"]*)(\.?)(?:[”»)\"’]*)(\s+|$)(?:[“„«(\"¿¡]*)([^\W_]?)([^\s.,;:!?…।()\[\]“”„«»\"]*)")
 
@@ -334,14 +335,21 @@ def sentences(chunks: DataFrame, asked: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(i, w) for i, t in zip(b["id"], b["text"]) for w in words_asked(t)], columns=["id", "word"])
 
-    told = looked_up(mine.where(F.col("text").rlike("[.…!?]")).mapInPandas(ask, "id string, word string"), counts, "word")
-    known = told.groupBy("id").agg(F.collect_list(F.struct("kind", "word", "n")).alias("known"))  # what one text asked for
+    # One row a word, and one line of text a text, cross to Python more cheaply than structs do.
+    by_word = counts.groupBy("word").agg(F.array_join(F.collect_list(F.concat_ws(":", "kind", "n")), " ").alias("told"))  # at most one entry a kind
+    told = looked_up(mine.where(F.col("text").rlike("[.…!?]")).mapInPandas(ask, "id string, word string"), by_word, "word")
+    known = told.groupBy("id").agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "word", "told")), _ROW).alias("known"))  # what one text asked for
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, t, k in zip(b["id"], b["text"], b["known"]):
-                held = {(x["kind"], x["word"]): x["n"] for x in k} if k is not None else {}
+                held = {}
+                for row in k.split(_ROW) if k else ():
+                    word, _, counted = row.partition(_FIELD)
+                    for x in counted.split(" "):
+                        kind, _, n = x.partition(":")
+                        held[kind, word] = int(n)
                 rows += [(i, s, e) for s, e in Splitter(Knowledge(held))(t)]
             yield pd.DataFrame(rows, columns=["id", "sent_start", "sent_end"])
 
