@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.operators.lookup import looked_up
 from folioweave.session import cut
 from folioweave.sources.tables import table
 
@@ -127,8 +128,10 @@ def judged(documents: DataFrame) -> DataFrame:
     everywhere = scored.agg(F.avg("page").alias("all"))  # one row
     hosts = scored.where("site is not null").groupBy("site").agg(F.sum("page").alias("w"), F.count(F.lit(1)).alias("n"))
     rates = hosts.crossJoin(F.broadcast(everywhere)).select("site", ((F.col("w") + HOST_STRENGTH * F.col("all")) / (F.col("n") + HOST_STRENGTH)).alias("host"), "all")
-    # Hosts are a shuffle join: their number grows with the crawl. Each is one row, so a host with a third of all pages only splits the pages' side.
-    both = scored.join(rates, "site", "left")
+    # A host with many pages meets its rate by a broadcast, the others by a shuffle; pages without a host have none.
+    known = looked_up(scored, rates, "site").select("doc_id", "site", "empty", "page", "host", "all")
+    alone = scored.where("site is null").crossJoin(F.broadcast(everywhere)).select("doc_id", "site", "empty", "page", F.lit(None).cast("double").alias("host"), "all")
+    both = known.unionByName(alone)
     logit = lambda x: F.log((x + 1e-3) / (1 - x + 1e-3))
     lean = F.coalesce(HOST_WEIGHT * (logit(F.col("host")) - logit(F.col("all"))), F.lit(0.0))
     score = 1 / (1 + F.exp(-(logit(F.col("page")) + lean)))

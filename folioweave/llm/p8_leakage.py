@@ -51,7 +51,7 @@ except ImportError:  # combining marks are not word characters for re
     class _Joined:
         @staticmethod
         def sub(_: str, s: str) -> str:
-            return "".join(c for c in s if c.isspace() or unicodedata.category(c)[0] in "LM" or c.isdigit())
+            return "".join(c for c in s if c.isspace() or unicodedata.category(c)[0] in "LM" or unicodedata.category(c) in ("Nd", "No"))
 
     _JOINED = _Joined()
 
@@ -108,23 +108,19 @@ def _seed_rows(rows: DataFrame, key: str, sieve: np.ndarray | None) -> DataFrame
     return rows.where(f"{key} is not null and text is not null").select(key, "text").mapInPandas(part, f"{key} long, seed long, pos int")
 
 
-def overlap(a: list[str], b: list[str], shift: int) -> tuple[int, int, int]:
-    """On a diagonal (a[i] against b[i - shift]): the longest exact run, and length and matches of the best tolerant overlap."""
+def overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """On a diagonal (a[i] against b[i - shift], hashes of words): the longest exact run, and length and matches of the best
+    tolerant overlap: the stretch with the greatest sum of +1 a match and 1 - 1 / MISMATCHES a substitution."""
     lo, hi = max(0, shift), min(len(a), len(b) + shift)
-    same = [a[i] == b[i - shift] for i in range(lo, hi)]
-    best = run = 0
-    for x in same:
-        run = run + 1 if x else 0
-        best = max(best, run)
-    # The stretch with the greatest sum of (match: +1, substitution: -1/MISMATCHES), trimmed to matches by itself.
-    cost, top, cur, start, span = 1 / MISMATCHES - 1, 0.0, 0.0, 0, (0, 0)
-    for i, x in enumerate(same):
-        if cur <= 0:
-            cur, start = 0.0, i
-        cur += 1 if x else -cost
-        if cur > top:
-            top, span = cur, (start, i + 1)
-    return best, span[1] - span[0], sum(same[span[0] : span[1]])
+    if hi <= lo:
+        return 0, 0, 0
+    same = a[lo:hi] == b[lo - shift : hi - shift]
+    apart = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, 1.0 - 1.0 / MISMATCHES))])
+    low = np.minimum.accumulate(sums)
+    end = int(np.argmax(sums - low))
+    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
+    return int(np.diff(apart).max()) - 1, end - start, int(same[start:end].sum())
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, most_held: int = MOST_HELD) -> DataFrame:
@@ -145,7 +141,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, most_held: int = MOST_HELD
         for b in batches:
             rows = []
             for d, i, shifts, x, y in zip(b["doc_id"], b["item_id"], b["shifts"], b["doc_text"], b["item_text"]):
-                xs, ys = words(x), words(y)
+                xs, ys = _hash_words(words(x)), _hash_words(words(y))
                 got = [overlap(xs, ys, int(s)) for s in shifts]
                 best = max(got, key=lambda g: (g[2], -g[1]))
                 rows.append((d, i, max(g[0] for g in got), best[1], best[2]))

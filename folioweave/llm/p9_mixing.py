@@ -7,8 +7,9 @@ left child's share of every source from one multivariate hypergeometric; each le
 block copies are permuted and dealt to the shards by these counts, so the shards' parts are disjoint; rows are then
 shuffled within their shard only.
 
-Only BLOCKS x sources numbers reach the driver, and the block plan (at most BLOCKS x sources x repeats rows) is the
-only thing broadcast, behind a check of its size.
+The numbers of blocks and shards follow from the size. Only blocks x sources numbers reach the driver, at most MOST_BLOCKS a
+source, and the block plan is the only thing broadcast, behind a check of its size. Texts are tokenised once; the vocabulary
+file is the parameter `tokenizer`.
 
 Defined results: rows with a null source are left out of size and mixture; a null or empty text has 0 tokens; a source
 without documents reaches 0; a target whose source is missing is reported; no target rows give an empty mixture.
@@ -25,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.session import small_side
+from folioweave.session import cut, small_side
 from folioweave.sources.tables import table
 
-BLOCKS = 1024
-SHARDS = 16
+# Rows that a block, and tokens that a shard, should have; and how few and how many of them there may be.
+BLOCK_ROWS, BLOCKS, MOST_BLOCKS = 5_000, 1024, 1 << 16
+SHARD_TOKENS, SHARDS, MOST_SHARDS = 50_000_000, 16, 1 << 12
 SEED = 20250301
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -118,16 +120,18 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int = SHARDS, seed
     return Plan(report, pd.DataFrame(rows, columns=["source", "block", "copy", "most_tokens", "shard"]))
 
 
-def _planned(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, Plan]:
+def _planned(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, seed: int = SEED) -> tuple[DataFrame, Plan]:
     docs = table(spark, folder, "documents", "doc_id", "source", "text")
     targets = table(spark, folder, "mix_targets", "source", "target_share", "max_repeats")
-    blocked = _blocked(docs, seed, BLOCKS, tokenizer)
+    blocks = min(MOST_BLOCKS, max(BLOCKS, docs.count() // BLOCK_ROWS))
+    blocked = cut(_blocked(docs, seed, blocks, tokenizer))
     named = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"))
     # Sources that no target names still count towards the total, in one row.
     known = targets.select("source", F.lit(True).alias("known")).distinct()
     sums = named.join(small_side(known), "source", "left").groupBy(F.when(F.col("known"), F.col("source")).alias("source"), F.when(F.col("known"), F.col("block")).otherwise(-1).alias("block")).agg(F.sum("tokens").alias("tokens"))
     held = sums.toPandas()
     held["source"] = held["source"].where(held["source"].notna(), "\0other")
+    shards = min(MOST_SHARDS, max(SHARDS, int(held["tokens"].sum()) // SHARD_TOKENS))
     return blocked, plan(held, targets.toPandas(), shards, seed)
 
 
@@ -160,7 +164,7 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 def mix(spark: SparkSession, folder: str) -> DataFrame:
     """p9_mix: the mixture itself; rows of a shard are in random order by `pos`."""
     blocked, p = _planned(spark, folder)
-    return mixture(blocked, p)
+    return mixture(blocked, p).repartition("shard").sortWithinPartitions("shard", "pos")  # shuffled locally: ids only move
 
 
 def shares(spark: SparkSession, folder: str) -> DataFrame:
