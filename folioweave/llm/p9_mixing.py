@@ -171,7 +171,8 @@ def shares(spark: SparkSession, folder: str) -> DataFrame:
     """p9_shares: by target, the share wanted, the share the written mixture has, its rows and tokens."""
     blocked, p = _planned(spark, folder)
     got = mixture(blocked, p).groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_rows"), (F.max("copy") + 1).alias("passes"))
-    wanted = spark.createDataFrame(p.report[["source", "target_share", "max_repeats", "tokens", "quota"]].values.tolist() or [], "source string, target_share double, max_repeats long, tokens long, quota long")
+    told = p.report.fillna({"target_share": 0.0, "max_repeats": 0}).astype({"max_repeats": "int64"})
+    wanted = spark.createDataFrame(told[["source", "target_share", "max_repeats", "tokens", "quota"]].values.tolist() or [], "source string, target_share double, max_repeats long, tokens long, quota long")
     total = got.agg(F.sum("mixed_tokens").alias("all_tokens"))
     both = wanted.join(got, "source", "left").crossJoin(F.broadcast(total))  # one row
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
