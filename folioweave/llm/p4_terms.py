@@ -2,9 +2,9 @@
 
 Probabilistic relevance weighting: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average length)), with
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)); df, N and the average length are taken over all records of a field.
-Repeated rows of an id count once; texts are read and shuffled once, after that only terms. Statistics are pre-aggregated
-per (field, term) before they meet the postings. Terms that make up at least HOT of all postings, of which there can't be
-more than 1 / HOT, meet theirs by a broadcast, the others by a shuffle in which no key is that frequent.
+Repeated rows of an id count once. Statistics are pre-aggregated per (field, term) before they meet the postings. Terms
+that make up at least HOT of all postings, of which there can't be more than 1 / HOT, meet theirs by a broadcast, or are
+dropped by one where the caller asks for rare terms only; the others by a shuffle in which no key is that frequent.
 
 Defined results: null texts, null facts and null elements hold no terms; a record without terms has no rows and
 counts in N and in the average length as 0; an empty table gives no rows; ties keep their equal scores.
@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioweave.session import cut
 from folioweave.sources.tables import table
 
 K1, B = 1.2, 0.75
@@ -25,11 +24,10 @@ TERM = "[A-Za-z]{5,}"
 
 
 def records(chunks: DataFrame, extractions: DataFrame) -> DataFrame:
-    """(id, field, terms), one row per id and field: all terms, in order, with repeats."""
+    """(id, field, text), one row per id and field."""
     a = chunks.where("id is not null").select("id", F.lit("text").alias("field"), F.col("text").alias("text"))
     b = extractions.where("id is not null").select("id", F.lit("facts").alias("field"), F.array_join("facts", "\n").alias("text"))
-    rows = a.unionByName(b).dropDuplicates(["id", "field"])
-    return rows.select("id", "field", terms(F.col("text")).alias("terms"))
+    return a.unionByName(b).dropDuplicates(["id", "field"])
 
 
 def terms(text: Column) -> Column:
@@ -39,12 +37,13 @@ def terms(text: Column) -> Column:
 
 def postings(rows: DataFrame) -> DataFrame:
     """(id, field, term, tf, length): length is the record's number of terms."""
-    return rows.select("id", "field", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    said = rows.select("id", "field", terms(F.col("text")).alias("terms"))
+    return said.select("id", "field", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "field", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def collection(rows: DataFrame) -> DataFrame:
     """(field, n, avg_length) over all records: one row per field."""
-    return rows.select("field", F.size("terms").alias("length")).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+    return rows.select("field", F.size(terms(F.col("text"))).alias("length")).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -58,23 +57,22 @@ def weight(tf: Column, df: Column, n: Column, length: Column, average: Column) -
 
 def scored(chunks: DataFrame, extractions: DataFrame, most_df: int | None = None, least_tf: dict[str, int] | None = None) -> DataFrame:
     """(id, field, term, tf, df, score) of every posting that meets the bounds."""
-    rows = cut(records(chunks, extractions))
+    rows = records(chunks, extractions)
     posts = postings(rows)
     freq = document_frequency(posts)
     all_posts = F.broadcast(freq.agg(F.sum("df").alias("all")))  # one row
-    hot = freq.crossJoin(all_posts).where(F.col("df") >= F.greatest(HOT * F.col("all"), F.lit(2))).select("field", "term", "df")  # at most 1 / HOT
-    if most_df:
-        bound = (F.col("df") >= 2) & (F.col("df") <= most_df)
-        freq, hot = freq.where(bound), hot.where(bound)
+    often = freq.crossJoin(all_posts).where(F.col("df") >= F.greatest(HOT * F.col("all"), F.lit((most_df or 0) + 2))).select("field", "term", "df")
+    often = F.broadcast(often)  # at most 1 / HOT
     if least_tf:
         keep = F.lit(False)
         for field, tf in least_tf.items():
             keep = keep | ((F.col("field") == field) & (F.col("tf") >= tf))
         posts = posts.where(keep)
     stats = collection(rows)  # one row per field
-    often = posts.join(F.broadcast(hot), ["field", "term"])
-    rest = posts.join(F.broadcast(hot.select("field", "term")), ["field", "term"], "left_anti").join(freq, ["field", "term"])
-    met = often.unionByName(rest).join(F.broadcast(stats), "field")
+    met = posts.join(often.select("field", "term"), ["field", "term"], "left_anti").join(freq.where(F.col("df").between(2, most_df)) if most_df else freq, ["field", "term"])
+    if not most_df:
+        met = met.unionByName(posts.join(often, ["field", "term"]))
+    met = met.join(F.broadcast(stats), "field")
     return met.select("id", "field", "term", "tf", "df", F.round(weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("avg_length")), 6).alias("score"))
 
 
