@@ -124,23 +124,30 @@ def _pieces(s: str, read_as: str) -> list[str | bytes]:
         while j < len(s) and ord(s[j]) in back:
             j += 1
         run = s[i:j]
-        out.append(run if run.isascii() else bytes([back[ord(c)] for c in run]))
-        out.append(s[j : j + 1])
+        if run:
+            out.append(run if run.isascii() else bytes([back[ord(c)] for c in run]))
+        if j < len(s):
+            out.append(s[j])
         i = j + 1
     return out
 
 
 def _runs(s: str, read_as: str, meant: str, pieces: list[str | bytes] | None = None) -> str | None:
     """Undo a two-byte page in each run of characters the wrong page has, so that clean neighbours may stay."""
-    back, out, done = _page(read_as)[0], [], False
-    for x in _pieces(s, read_as) if pieces is None else pieces:
+    pieces = _pieces(s, read_as) if pieces is None else pieces
+    out = None
+    for at, x in enumerate(pieces):
         if isinstance(x, bytes):
             try:
-                x, done = x.decode(meant), True
+                read = x.decode(meant)
             except UnicodeDecodeError:
-                x = "".join(back[b] for b in x)
-        out.append(x)
-    return "".join(out) if done else None
+                continue
+            out = out or list(pieces)
+            out[at] = read
+    if out is None:
+        return None
+    back = _page(read_as)[0]
+    return "".join(x if isinstance(x, str) else "".join(back[b] for b in x) for x in out)
 
 
 def _utf8_runs(s: str, read_as: str) -> tuple[str, bool]:
@@ -240,27 +247,41 @@ class _Reader:
         for c in high:
             a, b = _utf8_parts(c)
             first, later = first | a, later | b
+        held: dict[tuple, dict[str, str | None]] = {}  # pages that give the same bytes give the same readings
         for i, (r, pairs) in enumerate(_OTHER_PAIRS):
             if r == "gb18030":
-                tries = [(k, decipher(token, r, m)) for k, m in pairs]
+                tries = [(k, self._utf8(token, r)) for k, _ in pairs]
             elif not many or not any(ord(c) in _page(r)[1] for c in high):
                 continue
             else:
-                pieces, tries = _pieces(token, r), []
+                pieces = _pieces(token, r)
+                got = held.setdefault(tuple(pieces), {})
+                tries = []
                 for k, m in pairs:
                     if m != "utf-8":
-                        d = _runs(token, r, m, pieces)
-                        tries.append((k, None if d is None or d == token or any(map(_broken, d)) else d))
+                        if m not in got:
+                            got[m] = self._two_bytes(token, r, m, pieces)
+                        tries.append((k, got[m]))
                     elif (first & later) >> i & 1:
-                        tries.append((k, decipher(token, r, m)))
+                        tries.append((k, self._utf8(token, r)))
             for k, d in tries:
-                if d is None:
-                    continue
-                if PAIRS[k][1] == "utf-8" and _HIGH.search(d):
-                    d = decipher(d, r, "utf-8") or d  # twice misread
-                if sum(not self.known(c) for c in d.lower()) * 8 <= len(d):
+                if d is not None:
                     out[k] = d
 
+    def _seen(self, d: str) -> str | None:
+        """A reading if nearly all its characters are known."""
+        return d if sum(not self.known(c) for c in d.lower()) * 8 <= len(d) else None
+
+    def _two_bytes(self, token: str, r: str, m: str, pieces: list[str | bytes]) -> str | None:
+        d = _runs(token, r, m, pieces)
+        return None if d is None or d == token or any(map(_broken, d)) else self._seen(d)
+
+    def _utf8(self, token: str, r: str) -> str | None:
+        d = decipher(token, r, "utf-8")
+        if d is None:
+            return None
+        return self._seen((decipher(d, r, "utf-8") or d) if _HIGH.search(d) else d)  # it may be twice misread
+
 
 @functools.lru_cache(4)
 def _reader(known: Callable[[str], bool]) -> _Reader:
