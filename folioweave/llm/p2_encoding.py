@@ -402,23 +402,23 @@ class Bigrams:
 
 
 def judged(token: str, lm: Bigrams) -> tuple[float, list[tuple[int, str, float]]]:
-    """Score of a token as it stands, and all its decipherments (pair, reading, score): a cipher's weight may make any of them win."""
+    """Score of a token as it stands, and all its decipherments (pair, reading, score) that some weight of a cipher, which
+    is at most 1, may make win: those that score higher."""
     plain = lm.score(_fold(token))
     got = [(ks, d, lm.score(d.lower())) for d, ks in readings(token, lm.known).items()]
-    return plain, sorted(((k, d, score) for ks, d, score in got for k in ks), key=lambda x: (-x[2], x[0]))
+    return plain, sorted(((k, d, score) for ks, d, score in got if score > plain for k in ks), key=lambda x: (-x[2], x[0]))
 
 
 def _best(token: str, lm: Bigrams, weights: dict[int, float]) -> tuple[str, int, float, bool]:
     """The reading with the greatest posterior, its pair (-1: as it stands), its lead in nats, and whether some source's
     weights could make a decipherment win."""
     plain, got = judged(token, lm)
-    best, suspect = (token, -1, 0.0), False
+    best = token, -1, 0.0
     for k, d, score in got:
-        suspect |= score > plain
         lead = score - plain + math.log(max(weights.get(k, 0.0), _FIRST.get(k, FLOOR)))
         if lead > best[2]:
             best = (d, k, lead)
-    return *best, suspect
+    return *best, bool(got)
 
 
 def token_counts(records: DataFrame) -> DataFrame:
