@@ -34,6 +34,7 @@ BUCKETS = 1 << 17  # of each of the two rows of the bigram sketch: 2 MB in all,
 UNIGRAMS = 1 << 16  # one for each character of the basic plane; others share them
 SALTS = 16
 SIEVE = 1 << 20
+BLOCK = 1 << 13  # slots that reach the driver as one row of bytes
 
 # Code pages by their public names. "+" lets the bytes a page leaves undefined pass as C1 controls.
 READ_AS = ["latin-1", "cp1252+", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "cp1250", "gb18030"]
@@ -358,8 +359,24 @@ def _start(token: str) -> str:
     return token
 
 
+def _gathered(slots: DataFrame, size: int, dtype: type) -> np.ndarray:
+    """The sums of n by slot (slot, n) as one array. A row for each slot would take the driver some hundred times the
+    array's memory once the slots are full; blocks of bytes take the array's own."""
+
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(BLOCK, dtype=dtype)
+        block[b["slot"].to_numpy(dtype=int) % BLOCK] = b["n"].to_numpy(dtype=dtype)
+        return pd.DataFrame({"block": [b["slot"].iloc[0] // BLOCK], "bytes": [block.tobytes()]})
+
+    sums = slots.groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(-(-size // BLOCK) * BLOCK, dtype=dtype)
+    for r in sums.groupBy(F.floor(F.col("slot") / BLOCK)).applyInPandas(pack, "block long, bytes binary").collect():  # at most size / BLOCK rows
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["bytes"], dtype=dtype)
+    return out[:size]
+
+
 def count_bigrams(tokens: DataFrame, column: str = "reading", weight: str = "n", read: Callable[[str], str] = str) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram and character counts over all rows; at most 2 * BUCKETS + UNIGRAMS numbers reach the driver."""
+    """Bigram and character counts over all rows; 2 * BUCKETS + UNIGRAMS numbers reach the driver, in blocks."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         two, one = np.zeros(2 * BUCKETS), np.zeros(UNIGRAMS)
@@ -374,9 +391,7 @@ def count_bigrams(tokens: DataFrame, column: str = "reading", weight: str = "n",
         at = both.nonzero()[0]
         yield pd.DataFrame({"slot": at, "n": both[at]})
 
-    got = tokens.select(column, weight).mapInPandas(part, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros(2 * BUCKETS + UNIGRAMS)
-    both[got["slot"].to_numpy(dtype=int)] = got["n"]
+    both = _gathered(tokens.select(column, weight).mapInPandas(part, "slot long, n double"), 2 * BUCKETS + UNIGRAMS, np.float64)
     return both[: 2 * BUCKETS], both[2 * BUCKETS :]
 
 
@@ -444,6 +459,16 @@ def _slot(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % SIEVE
 
 
+def sieve_of(tokens: DataFrame) -> np.ndarray:
+    """Which slots of the sieve the tokens (token) fall in."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"slot": np.unique([_slot(t) for t in b["token"]]), "n": 1})
+
+    return _gathered(tokens.select("token").mapInPandas(part, "slot long, n long"), SIEVE, np.bool_)
+
+
 def fit(records: DataFrame, rounds: int = 2) -> Decoder:
     """Learn the ciphers of every source. records: source, text.
 
@@ -469,13 +494,8 @@ def fit(records: DataFrame, rounds: int = 2) -> Decoder:
         held_by = dict(won.groupBy("pair").agg(F.sum("n")).collect())  # one row for each cipher
         everywhere = {k: n / sum(held_by.values()) for k, n in held_by.items() if k >= 0}
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"slot": np.unique([_slot(t) for t in b["token"]])})
-
-    sieve = np.zeros(SIEVE, dtype=bool)
-    sieve[won.where("suspect").select("token").mapInPandas(slots, "slot int").distinct().toPandas()["slot"].to_numpy(dtype=int)] = True
-    garbled_by = by_source.join(won.where("pair >= 0").select("token", "pair", "lead"), "token").groupBy("source", "pair").agg(F.sum(F.col("n") / (1 + F.exp(-F.col("lead")))).alias("w"))
+    sieve = sieve_of(won.where("suspect"))
+    garbled_by = by_source.hint("merge").join(won.where("pair >= 0").select("token", "pair", "lead"), "token").groupBy("source", "pair").agg(F.sum(F.col("n") / (1 + F.exp(-F.col("lead")))).alias("w"))
     weights = garbled_by.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("pair", "w"))).alias("w"))  # at most one entry for each cipher
     sizes = by_source.groupBy("source").agg(F.sum("n").alias("all"))
     return Decoder(two, one, sieve, everywhere, cut(weights.join(sizes, "source")))
@@ -494,7 +514,8 @@ def restored(records: DataFrame, decoder: Decoder) -> DataFrame:
     suspect = records.where(F.col("text").rlike("[^\\x00-\\x7F]")).select("rec_table", "rec_key", "source", "text").mapInPandas(sift, "rec_table string, rec_key string, source string, text string")
     salted = suspect.withColumn("salt", F.pmod(F.xxhash64("rec_key"), F.lit(SALTS)).cast("int"))
     weights = decoder.sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = salted.join(weights, ["source", "salt"], "left").select("rec_table", "rec_key", "text", "all", F.map_entries("w").alias("w"))
+    # Sources grow with the corpus, and a scan's estimate knows neither the files' compression nor the copies: no broadcast.
+    both = salted.hint("merge").join(weights, ["source", "salt"], "left").select("rec_table", "rec_key", "text", "all", F.map_entries("w").alias("w"))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm, everywhere, sieve = Bigrams(*held.value[:2]), held.value[2], held.value[3]
