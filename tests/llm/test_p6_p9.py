@@ -38,3 +38,18 @@ def test_the_tree_divides_exactly():
     counts = np.array([100, 7, 0, 33])
     split = p9.split_tree(counts, 5, np.random.default_rng(1))
     assert (split.sum(axis=0) == counts).all() and split.shape == (5, 4) and split.sum(axis=1).max() - split.sum(axis=1).min() <= 2
+
+
+def test_p6_found_gathers_no_rows_that_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    words = ["é" + "".join(map(chr, x)) for x in np.random.default_rng(1).integers(0x400, 0x9000, (2000, 4))]
+    chunks = [(str(i), f"doc {i % 50}", "ｆｕｌｌ " + " ".join(words[i::200])) for i in range(200)]
+    spark.createDataFrame(chunks, "id string, doc string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([], "conv_id long, project string, method string").write.parquet(f"{tmp_path}/conv_results.parquet")
+    spark.createDataFrame([], "id string, entities array<struct<name:string,type:string>>, relations array<struct<source:string,relation:string,target:string>>").write.parquet(f"{tmp_path}/extractions.parquet")
+    gathered = []
+    for name in ("collect", "toPandas"):
+        whole = getattr(type(spark.range(1)), name)
+        monkeypatch.setattr(type(spark.range(1)), name, lambda df, whole=whole: gathered.append(len(out := whole(df))) or out)
+    got = p6.QUERIES["p6_found"](spark, str(tmp_path))
+    assert gathered and max(gathered) < 200  # ciphers and blocks of the sketch and the sieve
+    assert {r["rec_key"] for r in got.collect()} <= {x[0] for x in chunks}
