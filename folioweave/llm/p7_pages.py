@@ -9,6 +9,7 @@ corpus has the repaired word far more often than the broken one.
 
 Counts are exact. Words of at least RATE of the corpus, at most 1 / RATE of them, are broadcast; of rarer ones each text
 asks for those it needs, and a join answers. What a misread token may have been is worked out once for each distinct one.
+Which words are broadcast changes the work and not the rows: every count that a repair depends on is broadcast or asked for.
 
 Defined results: null and empty texts are clean; repeated rows give one result row; wrapped lines alone are clean.
 """
@@ -262,13 +263,19 @@ def corrections(token: str) -> Iterator[str]:
         layer = new
 
 
+def needed(own: int) -> int:
+    """How often a word must occur to be what a token seen `own` times was: TIMES as often, and TIMES that if the token
+    itself occurs as often as known words do."""
+    return TIMES * own * (TIMES if own >= KNOWN else 1)
+
+
 def best_correction(token: str, own: int, counts: dict[str, int]) -> tuple[str, int] | None:
     """The word that a token, itself seen `own` times, was before it was misread."""
     strange = _strange(token)
     best = None
     for c in corrections(token):
         n = counts.get(c.lower(), 0) if c.isalpha() else 0
-        if n > (best[1] if best else 0) and n >= TIMES * own and (n >= EVIDENCE or (strange and n >= KNOWN)) and (c[0].isupper() == token[0].isupper() or not token[0].isalpha()):
+        if n > (best[1] if best else 0) and n >= needed(own) and (n >= EVIDENCE or (strange and n >= KNOWN)) and (c[0].isupper() == token[0].isupper() or not token[0].isalpha()):
             best = c, n
     return None if best and token[0].isupper() and not strange and best[1] < 2 * EVIDENCE else best
 
@@ -288,17 +295,17 @@ def suspicious(token: str) -> bool:
 class Repair:
     """Repairs one text at a time: `page` takes away what the page added, `mend` joins and corrects words."""
 
-    def __init__(self, model: tuple, head: dict[str, int]):
-        self.head, self.known, self.fixes = head, {}, {}
+    def __init__(self, model: tuple, head: dict[str, int], doubtful: frozenset[str]):
+        self.head, self.doubtful, self.known, self.fixes = head, doubtful, {}, {}
         self.labels = functools.lru_cache(50_000)(lambda obs: viterbi(list(obs), model))
 
     def count(self, w: str) -> int:
         w = w.lower()
         return self.head.get(w) or self.known.get(w, 0)
 
-    def misread(self, token: str) -> str | None:
-        """What this token was, if it is no frequent word itself."""
-        return None if token.lower() in self.head else self.fixes.get(token)
+    def sound(self, w: str) -> bool:
+        """Whether a word, in lower case, is a frequent one that no other is frequent enough to correct."""
+        return w in self.head and w not in self.doubtful
 
     def joins(self, a: str, b: str, hyphen: bool) -> bool:
         """Whether two pieces are one word: the corpus knows it, and not its pieces as neighbours."""
@@ -315,15 +322,18 @@ class Repair:
     def asks(self, body: str) -> tuple[set[str], set[str]]:
         """Words whose counts the mending of a body needs beside the frequent ones, and tokens that may be misread."""
         words: set[str] = set()
-        if not _MIXED.search(body) and all(w in self.head for w in map(str.lower, _LETTERS.findall(body))):
-            return words, words
-        pairs = [(body[i:j], body[k:n]) for i, j, k, n in neighbours(body)] + [(m["a"], m["b"]) for m in _HYPHENATED.finditer(body)]
-        for x, y in pairs:
-            x, y = x.lower(), y.lower()
-            if x not in self.head or y not in self.head:
-                words |= {w for w in (x, y, x + y) if w not in self.head}
-        tokens = {t for t in _TOKEN.findall(body) if t.lower() not in self.head and suspicious(t)}
-        return words, tokens
+        broken = [*_HYPHENATED.finditer(body)] if any(h in body for h in HYPHENS) else []
+        for m in broken:
+            x, y = m["a"].lower(), m["b"].lower()
+            words |= {w for w in (x, y, x + y) if w not in self.head}
+        if not _MIXED.search(body) and all(map(self.sound, map(str.lower, _LETTERS.findall(body)))) and not broken:
+            return words, set()
+        for text in _as_joined(body, broken):
+            for i, j, k, n in neighbours(text):
+                x, y = text[i:j].lower(), text[k:n].lower()
+                if x not in self.head or y not in self.head:  # two frequent words are never joined to a rarer one
+                    words |= {w for w in (x, y, x + y) if w not in self.head}
+        return words, {t for t in _TOKEN.findall(body) if suspicious(t) and not self.sound(t.lower())}
 
     def page(self, text: str, repeated: frozenset[str]) -> tuple[str, bool]:
         """The text without headers and page numbers, and whether there were any."""
@@ -366,7 +376,7 @@ class Repair:
             body = east
 
         def letters(m: re.Match) -> str:
-            to = self.misread(m[0])
+            to = self.fixes.get(m[0])
             if to is None:
                 return m[0]
             traces.add("misread")
@@ -375,6 +385,20 @@ class Repair:
         return _paragraphs(_TOKEN.sub(letters, body) if self.fixes else body), traces
 
 
+def _as_joined(body: str, broken: list[re.Match]) -> list[str]:
+    """The body with none, all, every second and every other of its broken words joined: whichever are joined in the end,
+    any two neighbours are so in one of these."""
+    out = [body]
+    for take in ({0, 1}, {0}, {1}) if len(broken) > 1 else ({0},) if broken else ():
+        parts, at = [], 0
+        for i, m in enumerate(broken):
+            if i % 2 in take:
+                parts += [body[at : m.start()], m["a"], m["b"]]
+                at = m.end()
+        out.append("".join(parts) + body[at:])
+    return out
+
+
 def _paragraphs(body: str) -> str:
     """Wrapped lines as continuous paragraphs: a line goes on in the next unless either is markup, blank, or short and ended."""
     lines = body.split("\n")
@@ -405,23 +429,44 @@ def frequent(words: DataFrame) -> tuple[dict[str, int], float]:
     return {r["w"]: r["n"] for r in words.where(F.col("n") >= floor).collect()}, floor
 
 
-def misreadings(tokens: DataFrame, words: DataFrame, head: dict[str, int], floor: float) -> DataFrame:
+def doubted(head: dict[str, int], floor: float) -> frozenset[str]:
+    """Frequent words that may be misreadings of others; few words are frequent enough to be what another was."""
+    back = {(meant.lower(), read.lower()) for read, meant in CONFUSED if read.isalpha() and meant.isalpha()}
+    out = set()
+    for c, n in head.items():
+        if n < needed(floor):
+            continue
+        seen, layer = {c}, [c]
+        for _ in range(2):  # corrections() takes two steps at most
+            new = []
+            for t in layer:
+                for meant, read in back:
+                    i = t.find(meant)
+                    while i >= 0:
+                        w = t[:i] + read + t[i + len(meant) :]
+                        if w not in seen:
+                            seen.add(w)
+                            new.append(w)
+                        i = t.find(meant, i + 1)
+            layer = new
+        out |= {w for w in seen if w in head and n >= needed(head[w])}
+    return frozenset(out)
+
+
+def misreadings(tokens: DataFrame, words: DataFrame, head: dict[str, int]) -> DataFrame:
     """(token, to) of every distinct token (token) that is a misread word."""
     spark = tokens.sparkSession
     width = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = tokens.distinct().withColumn("w", F.lower("token")).join(words, "w", "left").select("token", F.coalesce("n", F.lit(0)).alias("own")).repartition(width)
     held = spark.sparkContext.broadcast(head)
-    if floor > EVIDENCE:  # a repair's word may be rarer than the frequent ones: their counts are joined
 
-        def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame([(t, n, c.lower()) for t, n in zip(b["token"], b["own"]) for c in corrections(t) if c.isalpha() and c.lower() not in held.value], columns=["token", "own", "w"])
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(t, n, c.lower()) for t, n in zip(b["token"], b["own"]) for c in corrections(t) if c.isalpha() and c.lower() not in held.value], columns=["token", "own", "w"])
 
-        asked = own.mapInPandas(possible, "token string, own long, w string")
-        rest = looked_up(asked, words.where(F.col("n") >= KNOWN), "w").groupBy("token").agg(F.map_from_entries(F.collect_set(F.struct("w", "n"))).alias("rest"))
-        own = own.join(rest, "token", "left")
-    else:
-        own = own.withColumn("rest", F.lit(None).cast("map<string,long>"))
+    # A repair's word may be rarer than the frequent ones: their counts are joined.
+    rest = looked_up(own.mapInPandas(possible, "token string, own long, w string"), words.where(F.col("n") >= KNOWN), "w").groupBy("token").agg(F.map_from_entries(F.collect_set(F.struct("w", "n"))).alias("rest"))
+    own = own.join(rest, "token", "left")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -437,7 +482,7 @@ def repaired(records: DataFrame) -> DataFrame:
     rows = cut(with_repeated(records.dropDuplicates(["rec_table", "rec_key"])))
     words = cut(word_counts(rows.select("text")))
     head, floor = frequent(words)
-    held = spark.sparkContext.broadcast((fit(rows.select("text", "repeated")), head))
+    held = spark.sparkContext.broadcast((fit(rows.select("text", "repeated")), head, doubted(head, floor)))
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(*held.value)
@@ -453,7 +498,7 @@ def repaired(records: DataFrame) -> DataFrame:
     bodies = cut(rows.select(*key, "text", "repeated").mapInPandas(pages, "rec_table string, rec_key string, body string, header boolean, words array<string>, tokens array<string>"))
     tokens = bodies.select(*key, F.explode("tokens").alias("token"))
     known = looked_up(bodies.select(*key, F.explode("words").alias("w")), words, "w").groupBy(*key).agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "w", "n")), _ROW).alias("known"))  # what one text asked for
-    fixes = looked_up(tokens, cut(misreadings(tokens.select("token"), words, head, floor)), "token").groupBy(*key).agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "token", "to")), _ROW).alias("fixes"))
+    fixes = looked_up(tokens, cut(misreadings(tokens.select("token"), words, head)), "token").groupBy(*key).agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "token", "to")), _ROW).alias("fixes"))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         repair = Repair(*held.value)

@@ -59,3 +59,20 @@ def test_lookups_lose_nothing(spark):
     asked = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(50)] + [(None, 1), ("none", 2)], "w string, i int")
     counts = spark.createDataFrame([("hot", 7), ("hot", 8)] + [(f"k{i}", i) for i in range(50)], "w string, n int")
     assert looked_up(asked, counts, "w").count() == 900 * 2 + 50
+
+
+def test_rows_do_not_depend_on_which_words_are_broadcast(spark, monkeypatch):
+    texts = [LINES] * 40 + ["the harbour was calm today " * 32] * 80
+    texts += ["the foot of the path was wet"] * 60 + ["a footpath led there"] * 8 + ["they took the foot-\npath again"]  # a rare whole of frequent pieces
+    texts += ["the boathouse was shut"] * 8 + ["the b0athouse was shut"]  # a strange token's repair may be rare
+    texts += ["the harhour was shut"] * 6  # misread as often as rare words occur
+    got = []
+    for rate in (1e-9, 15 / 15000, 40 / 15000):
+        monkeypatch.setattr(p7, "RATE", rate)
+        rows = spark.createDataFrame([("chunks", str(i), t) for i, t in enumerate(texts)], "rec_table string, rec_key string, text string")
+        floor = p7.frequent(p7.word_counts(rows))[1]
+        got.append((floor, {r["rec_key"]: (r["repaired"], r["traces"]) for r in p7.repaired(rows).collect()}))
+    (small, first), (middle, second), (large, third) = got
+    assert small == p7.KNOWN < 8 < middle < p7.EVIDENCE < large < 60
+    assert first == second == third
+    assert {x for x, _ in first.values()} == {"they took the footpath again", "the boathouse was shut", "the harbour was shut"}
