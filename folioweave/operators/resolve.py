@@ -6,7 +6,8 @@ name it may stand for, and by hash embeddings that a looser similarity confirms;
 Similar names are sought in blocks (script, first or last two characters of a word) of one length band each, with the band
 beside it. A block of more than TILE names is cut into tiles by a hash, and every pair of tiles is a task of its own, so
 no task holds more than two tiles; names go to tasks, pairs never leave them unless they link. Within a tile, lengths and
-shared characters, which bound the similarity from above, leave few pairs to be measured exactly.
+marks of 64 bits leave few pairs to be measured exactly, each in one of the blocks it shares. The marks bound the
+similarity from above, so none that links is lost. The pairs passed over are still quadratic in a block.
 
 Defined results: names that are null or blank are no mentions; names that normalise to nothing join no other by form or by
 similarity; of equally frequent labels the longer, then the first seen; of equally frequent types the first seen.
@@ -15,25 +16,33 @@ similarity; of equally frequent labels the longer, then the first seen; of equal
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from folioweave.functions.names import LENGTH_APART, THRESHOLD, THRESHOLDS, acronym, block_keys, initials, normalised, script, siblings, threshold, token_set_ratio
+from folioweave.functions.names import LENGTH_APART, THRESHOLD, THRESHOLDS, acronym, block_keys, initials, normalised, script, set_ratio, siblings, threshold
 from folioweave.functions.text import strip
 from folioweave.operators.components import components
 from folioweave.operators.ranking import numbered
 from folioweave.session import cut
 from folioweave.sources.tables import table
 
-TILE = 1000
+TILE = 4000
 COSINE, LOOSE = 0.92, 60
-LETTERS = 48
+LETTERS, PAIRS = 48, 512
+# A name's mark, and how many pairs of marks are passed over at once.
+MARK = np.dtype([("p", "<u8"), ("q", "<u8"), ("signs", "<u8"), ("length", "<i4"), ("whole", "<i2"), ("subset", "u1"), ("close", "u1")])
+SCAN = 1 << 17
 
 
 def names_of(mentions: DataFrame) -> DataFrame:
@@ -52,15 +61,17 @@ def _same_form(names: DataFrame) -> DataFrame:
 
 
 def blocks(forms: DataFrame, tile: int = TILE) -> DataFrame:
-    """(key, band, left, right, norm, name): what every task compares. `forms` has one row for each normal form."""
+    """(key, band, left, right, mine, own, norm, name, keys, marks): what every task compares. `forms` has one row for each
+    normal form; `keys` are all its keys."""
     band = F.floor(F.length("norm") / (LENGTH_APART + 1))
-    keyed = forms.where("norm != ''").select("norm", "name", band.alias("own"), F.explode(block_keys(F.col("norm"))).alias("key"))
+    marked = forms.where("norm != ''").select("norm", "name", band.alias("own"), block_keys(F.col("norm")).alias("all"), _marks("norm", "name").alias("marks"))
+    keyed = marked.select("norm", "name", "own", F.array_join("all", " ").alias("keys"), "marks", F.explode("all").alias("key"))
     # A form goes to its own band as the shorter side and to the one before as the longer side.
-    placed = keyed.select("key", "norm", "name", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band")).where("band >= 0")
+    placed = keyed.select("key", "norm", "name", "keys", "marks", "own", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band")).where("band >= 0")
     sizes = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).select("key", "band", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), "n").where("n > 1")
     sized = placed.join(sizes, ["key", "band"]).withColumn("mine", F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("mine")).alias("left"), F.greatest(t, F.col("mine")).alias("right")))
-    return sized.select("key", "band", "own", "norm", "name", F.explode(pairs).alias("p"), "mine").select("key", "band", "p.left", "p.right", "mine", "own", "norm", "name")
+    return sized.select("*", F.explode(pairs).alias("p")).select("key", "band", "p.left", "p.right", "mine", "own", "norm", "name", "keys", "marks")
 
 
 @lru_cache(200_000)
@@ -78,44 +89,170 @@ def _embedding(name: str) -> np.ndarray:
     return v / size if size else v
 
 
-def _letters(norm: str) -> np.ndarray:
-    return np.bincount([ord(c) % LETTERS for c in norm], minlength=LETTERS).astype(np.int16)
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each of LETTERS classes of characters is in each text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4") % LETTERS
+    of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    return np.bincount(of * LETTERS + codes, minlength=len(texts) * LETTERS).reshape(len(texts), LETTERS).astype(np.int32)
+
+
+def _pair_bits(texts: list[str]) -> np.ndarray:
+    """Bits of the pairs of characters in each text, spaces around it, in PAIRS classes: (words of 64, texts)."""
+    codes = np.frombuffer("".join(f" {x} " for x in texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(texts)), [len(x) + 2 for x in texts])
+    within = of[1:] == of[:-1]
+    at = (codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA6B) >> np.uint64(7)) % np.uint64(PAIRS)
+    held = np.zeros((len(texts), PAIRS), bool)
+    held[of[1:][within], at[within]] = True
+    return np.ascontiguousarray(np.packbits(held, axis=1).view(np.uint64).T)
 
 
 def _bar(short: int) -> int:
     return next((max(bar, THRESHOLD) for upto, bar in THRESHOLDS if short <= upto), THRESHOLD)
 
 
-def similar_links(part: pd.DataFrame) -> pd.DataFrame:
+def _word_set(norm: str) -> str:
+    """What is measured of a normal form: each of its words once."""
+    return " ".join(sorted(set(norm.split())))
+
+
+@lru_cache(200_000)
+def _pairs_of(word: str) -> int:
+    bits, padded = 0, f" {word} "
+    for a, b in zip(padded, padded[1:]):
+        bits |= 1 << ((ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA6B) >> 7) % 128
+    return bits
+
+
+def _mark(norm: str, name: str) -> bytes:
+    """Bits of the pairs of characters in the word set (two words of 64) and of the embedding's signed places, with what
+    another name must share of them at least, as MARK. With L characters in common, the word sets of two names, l and m long, differ in
+    3 (l + m - 2 L) pairs of characters at most, and the shared words in none."""
+    n, bits = len(_word_set(norm)), 0
+    for w in set(norm.split()):
+        bits |= _pairs_of(w)
+    v: dict[int, int] = {}
+    for t in re.findall("[a-z0-9]+", name.lower()):
+        at, s = _place(t)
+        v[at] = v.get(at, 0) + s
+    signs, square = 0, sum(x * x for x in v.values())
+    for at, x in v.items():
+        if x:
+            signs |= 1 << (at * 2 + (x > 0)) % 64
+    on = bits.bit_count()
+    whole = max(-1000, math.floor(4 * (on - 3 * (1 - THRESHOLD / 100) * n) - 1e-6))
+    subset = max(0, math.ceil(on - (1 - THRESHOLD / (200 - THRESHOLD)) * n - 1e-6))
+    close = max(0, math.ceil(signs.bit_count() - (1 - COSINE**2) * square - 1e-3)) if square else 255
+    return struct.pack("<QQQihBB", bits & (1 << 64) - 1, bits >> 64, signs, n, whole, subset, min(close, 255))
+
+
+@F.pandas_udf(BinaryType())
+def _marks(norms: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([_mark(x, y) for x, y in zip(norms, names)], dtype=object)
+
+
+def _near(m: dict[str, np.ndarray], size: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of `rows` and `cols` (places, in order of size) whose marks allow a link; with `same`, each once."""
+    fields = ("p", "q", "signs", "whole", "subset", "close")
+    r, i = {f: m[f][cols] for f in fields}, 0
+    lengths = size[cols]
+    while i < len(rows):
+        low, step = int(np.searchsorted(lengths, size[rows[i]] - LENGTH_APART)) if not same else i, 1
+        step = max(1, SCAN // max(1, len(cols) - low))
+        at = rows[i : i + step]
+        high = int(np.searchsorted(lengths, size[at[-1]] + LENGTH_APART, "right"))
+        if high > low:
+            x, y = {f: m[f][at][:, None] for f in fields}, {f: r[f][None, low:high] for f in fields}
+            both = np.bitwise_count(x["p"] & y["p"])
+            both += np.bitwise_count(x["q"] & y["q"])
+            allowed = both >= np.minimum(x["subset"], y["subset"])
+            allowed |= both.astype(np.int16) * np.int16(8) >= x["whole"] + y["whole"]
+            allowed |= np.bitwise_count(x["signs"] & y["signs"]) >= np.maximum(x["close"], y["close"])
+            a, b = np.nonzero(allowed)
+            if same:
+                a, b = a[a + i < b + low], b[a + i < b + low]
+            a, b = at[a], cols[low + b]
+            keep = np.abs(size[a] - size[b]) <= LENGTH_APART
+            yield a[keep], b[keep]
+        i += step
+
+
+def _earlier(keys: list[str], key: str) -> list[np.ndarray]:
+    """Which of the keys before `key` each name has, as bits; the keys most names have come first."""
+    before = [[k for k in x.split(" ") if k < key] for x in keys]
+    often = Counter(k for x in before for k in x)
+    place = {k: i for i, (k, n) in enumerate(often.most_common()) if n > 1}
+    bits = [sum(1 << place[k] for k in x if k in place) for x in before]
+    return [np.array([x >> w & (1 << 64) - 1 for x in bits], np.uint64) for w in range(0, len(place), 64)]
+
+
+def similar_links(part: pa.Table) -> pa.Table:
     """Links among the names of one pair of tiles: by similarity, or by embedding and a looser similarity."""
-    out = []
-    p = part.drop_duplicates("norm").reset_index(drop=True)
-    norms, names, mine = p["norm"].tolist(), p["name"].tolist(), p["mine"].to_numpy()
-    own, band = p["own"].to_numpy(), p["band"].iloc[0]
-    left, right = p["left"].iloc[0], p["right"].iloc[0]
+    norms = part["norm"].to_pylist()
+    order = sorted(range(len(norms)), key=lambda i: len(norms[i]))
+    norms = [norms[i] for i in order]
+    names, keys, marks = (part[c].take(pa.array(order)).to_pylist() for c in ("name", "keys", "marks"))
+    mine, own = (part[c].to_numpy()[order] for c in ("mine", "own"))
+    key, band, left, right = (part[c][0].as_py() for c in ("key", "band", "left", "right"))
     size = np.array([len(x) for x in norms])
-    letters = np.stack([_letters(x) for x in norms])
-    vectors = np.stack([_embedding(x) for x in names])
-    for i in range(len(norms) - 1):
-        rest = slice(i + 1, None)
-        near = (np.abs(size[rest] - size[i]) <= LENGTH_APART) & ((own[rest] == band) | (own[i] == band))  # else the next band's
-        if left != right:
-            near &= mine[rest] != mine[i]  # pairs within a tile are that tile's own task
-        at = np.flatnonzero(near) + i + 1
-        if not len(at):
-            continue
-        common = np.minimum(letters[at], letters[i]).sum(axis=1)
-        short = np.minimum(size[at], size[i])
-        bars = np.where(short <= 4, _bar(4), np.where(short <= 6, _bar(6), THRESHOLD))
-        whole = 200.0 * common / (size[at] + size[i])
-        subset = 200.0 * common / (common + short)  # the shared words against the shorter side alone
-        close = vectors[at] @ vectors[i] >= COSINE
-        for k in np.flatnonzero((np.maximum(whole, subset) >= bars) | close):
-            j = int(at[k])
-            ratio = token_set_ratio(norms[i], norms[j])
-            if (ratio >= bars[k] and not _siblings(norms[i], norms[j])) or (close[k] and ratio >= LOOSE):
-                out.append((names[i], names[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
+    held = np.frombuffer(b"".join(marks), MARK)
+    m = {f: np.ascontiguousarray(held[f]) for f in MARK.names}
+    short, long = np.flatnonzero(own == band), np.flatnonzero(own != band)  # two of the next band meet there
+    if left == right:
+        sides = [(short, short, True), (short, long, False)]
+    else:
+        here, there = mine == left, mine == right
+        sides = [(short[here[short]], np.flatnonzero(there), False), (long[here[long]], short[there[short]], False)]
+    earlier = _earlier(keys, key)
+    vectors, text, words = lru_cache(None)(lambda i: _embedding(names[i])), lru_cache(None)(lambda i: _word_set(norms[i])), lru_cache(None)(lambda i: frozenset(norms[i].split()))
+    bars = np.array([_bar(x) for x in size.tolist()])  # the shorter of two has the higher bar
+    out = []
+    for a, b in _gathered(_of_block(m, size, sides, earlier)):
+        if len(a):
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            texts = [text(i) for i in used.tolist()]
+            close = np.bitwise_count(m["signs"][a] & m["signs"][b]) >= np.maximum(m["close"][a], m["close"][b])
+            at = _likely(at[: len(a)], at[len(a) :], np.maximum(bars[a], bars[b]), m["length"][used], _letters(texts), _pair_bits(texts)) | close
+            for i, j, c in zip(a[at].tolist(), b[at].tolist(), close[at].tolist()):
+                bar = max(bars[i], bars[j])
+                c = c and vectors(i) @ vectors(j) >= COSINE
+                ratio = set_ratio(words(i), words(j), LOOSE if c else bar)
+                if (ratio >= bar and not _siblings(norms[i], norms[j])) or (c and ratio >= LOOSE):
+                    out.append((names[i], names[j]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.string()), "b": pa.array([b for _, b in out], pa.string())})
+
+
+def _of_block(m: dict[str, np.ndarray], size: np.ndarray, sides: list[tuple], earlier: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for rows, cols, same in sides:
+        for a, b in _near(m, size, rows, cols, same) if len(rows) and len(cols) else ():
+            for e in earlier:
+                first = (e[a] & e[b]) == 0  # else another block's pair
+                a, b = a[first], b[first]
+            yield a, b
+
+
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in parts of about SCAN: what is counted of a name is counted once a part."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= SCAN:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _likely(a: np.ndarray, b: np.ndarray, bar: np.ndarray, length: np.ndarray, letters: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which pairs may reach their bar by the letters and, as with the marks, by the pairs of characters they share."""
+    n, k = length[a], length[b]
+    common = np.minimum(letters[a], letters[b]).sum(axis=1)
+    on, other, both = (sum(np.bitwise_count(w).astype(np.int32) for w in x) for x in ((p[a] for p in pairs), (p[b] for p in pairs), (p[a] & p[b] for p in pairs)))
+    whole = (200.0 * common / (n + k) >= bar) & (on + other - 2 * both <= 3 * (1 - bar / 100) * (n + k) + 1e-6)
+    apart = 1 - bar / (200 - bar)
+    subset = (on - both <= apart * n + 1e-6) | (other - both <= apart * k + 1e-6)
+    return whole | subset & (200.0 * common / (common + np.minimum(n, k)) >= bar)
 
 
 def _siblings(a: str, b: str) -> bool:
@@ -129,7 +266,9 @@ def _siblings(a: str, b: str) -> bool:
 
 def _similar(names: DataFrame, tile: int) -> DataFrame:
     forms = names.groupBy("norm").agg(F.min("name").alias("name"))
-    return blocks(forms, tile).groupBy("key", "band", "left", "right").applyInPandas(similar_links, "a string, b string").distinct()
+    width = 4 * max(names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = blocks(forms, tile).repartition(width, "key", "band", "left", "right")  # by number: small data is long work, which AQE would put together
+    return tasks.groupBy("key", "band", "left", "right").applyInArrow(similar_links, "a string, b string")
 
 
 def acronym_links(names: DataFrame) -> DataFrame:
@@ -148,7 +287,7 @@ def resolved(mentions: DataFrame, fuzzy: bool = True, tile: int = TILE) -> DataF
     names = cut(names_of(mentions))
     links = _same_form(names).unionByName(acronym_links(names))
     if fuzzy:
-        links = links.unionByName(_similar(names, tile))
+        links = links.unionByName(cut(_similar(names, tile)))  # components read links twice
     by = cut(components(names.select(F.col("name").alias("id")), links))
     members = names.join(by.withColumnRenamed("id", "name"), "name")
     return members.join(rolled_up(members), "component").select("name", "norm", "freq", "cid", "label", "type", "count")

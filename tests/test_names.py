@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,40 @@ def test_blocks_and_tiles_lose_no_link(spark, tile):
     assert {tuple(sorted(r)) for r in resolve._similar(df, tile).collect()} == want and want
 
 
+def test_words_that_repeat_are_measured_once(spark):
+    df = spark.createDataFrame([(f, f) for f in ("abc abc abc xyz", "abc qrs tuv xyz", "other name")], "name string, norm string")
+    assert [tuple(sorted(r)) for r in resolve._similar(df, 1000).collect()] == [("abc abc abc xyz", "abc qrs tuv xyz")]
+
+
+def test_a_large_block_leaves_few_pairs_to_measure():
+    random.seed(7)
+    base = sorted({"".join(random.choice("abcdefghiklmnoprstuvwyz") for _ in range(12)) for _ in range(3000)})
+    forms = [f"{b} company" for b in base] + [f"{b[:5]}{b[6:]} company" for b in base[::100]]
+    held = np.frombuffer(b"".join(resolve._mark(f, f) for f in forms), resolve.MARK)
+    m = {f: held[f] for f in resolve.MARK.names}
+    size = np.array([len(f) for f in forms])
+    order = np.argsort(size, kind="stable")
+    a, b = (np.concatenate(x) for x in zip(*resolve._near(m, size, order, order, True)))
+    left = resolve._likely(a, b, np.full(len(a), 88), m["length"], resolve._letters(forms), resolve._pair_bits(forms))
+    assert {(i * 100, len(base) + i) for i in range(len(base[::100]))} <= {tuple(sorted(x)) for x in zip(a[left].tolist(), b[left].tolist())}
+    assert left.sum() < len(forms) ** 2 / 2 / 1000
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abéc", min_size=1, max_size=6), min_size=1, max_size=5), st.lists(st.text("abéc", min_size=1, max_size=6), min_size=1, max_size=5))
+def test_set_ratio_and_marks(x, y):
+    a, b = " ".join(x), " ".join(y)
+    ratio = names.token_set_ratio(a, b)
+    assert names.set_ratio(frozenset(x), frozenset(y)) == ratio
+    m = {f: np.frombuffer(resolve._mark(a, a) + resolve._mark(b, b), resolve.MARK)[f] for f in resolve.MARK.names}
+    size, one, two = np.array([len(a), len(b)]), np.array([0]), np.array([1])
+    passed = abs(len(a) - len(b)) > names.LENGTH_APART or any(len(r) for r, _ in resolve._near(m, size, one, two, False))
+    texts = [resolve._word_set(z) for z in (a, b)]
+    for bar in (88, 91, 95):
+        assert ratio < bar or passed and resolve._likely(one, two, np.array([bar]), m["length"], resolve._letters(texts), resolve._pair_bits(texts))[0]
+    assert resolve._embedding(a) @ resolve._embedding(b) < resolve.COSINE or passed
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (51, 50), (60, 60), (None, 1)]
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 50, 51, 60]], "id long")
